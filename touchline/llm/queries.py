@@ -7,20 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import simhash
+from touchline.llm import language, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, plan = mixing.mix(_table(spark, sf_dir, "documents"))
+    sources = spark.createDataFrame(plan.sources, "name string, source_size long, target double")
+    own = F.col("source").eqNullSafe(F.col("name"))
+    joined = mixed.join(F.broadcast(sources), own)  # as few rows as there are sources, which max_patterns bounds
+    return joined.select("doc_id", F.col("mix.size").alias("size"), "source_size", "target", F.col("mix.taken").alias("taken"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _fold(modulus: int):
+    """crc32 of doc_id as text, modulo modulus; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_fold(4) != 2))
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return language.identify(docs, model, [F.col("doc_id"), held_out])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op6_language": op6_language}
 
 
 def oracle_sql() -> dict[str, str]:
