@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import language, mixing, simhash
+from touchline.llm import language, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, [F.col("doc_id"), held_out])
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op6_language": op6_language}
+    return {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op6_language": op6_language, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
