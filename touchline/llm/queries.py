@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import language, mixing, packing, simhash
+from touchline.llm import language, lines, mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("lines.total").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"), "text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, plan = mixing.mix(_table(spark, sf_dir, "documents"))
     sources = spark.createDataFrame(plan.sources, "name string, source_size long, target double")
@@ -33,6 +38,14 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_fold(3) != 1))
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    found = toxicity.score(docs, model, [F.col("doc_id"), held_out])
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.where(_fold(4) != 2))
@@ -46,7 +59,7 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op6_language": op6_language, "op8_packing": op8_packing}
+    return {"op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
