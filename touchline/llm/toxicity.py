@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W\d_]+")
 WINDOW = 32
+STRONG = 2.0
 LIMIT = 5.0  # no word counts for more than this log-ratio
 GROUP = 1 << 19  # words scored at once
 START = 0  # stands for the word before the first
@@ -148,9 +149,10 @@ def _look(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: floa
 
 
 def features(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
-    """For each text: mean log-ratio a word, largest mean over a window, sum over the root of the length, 1."""
-    out = np.zeros((len(texts), 4))
-    out[:, 3] = 1
+    """For each text, of the log-ratios of its words: mean, largest mean over a window, sum and sum of
+    what exceeds STRONG, both over the root of the length; then 1."""
+    out = np.zeros((len(texts), 5))
+    out[:, 4] = 1
     held: list[list[str]] = []
     owner: list[int] = []
     size = 0
@@ -183,7 +185,8 @@ def features(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarra
                 total = run[low + n] - run[low]
                 span = min(n, WINDOW)
                 means = (run[low + span : low + n + 1] - run[low : low + n + 1 - span]) / WINDOW
-                out[i_, :3] = total / n, means.max(), total / np.sqrt(n)
+                strong = np.maximum(ratio[low : low + n] - STRONG, 0).sum() / np.sqrt(n)
+                out[i_, :4] = total / n, means.max(), total / np.sqrt(n), strong
             held, owner, size = [], [], 0
     return out
 
@@ -219,7 +222,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 10_000, cutoff: int = 4):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 10_000, cutoff: int = 8):
     """The model, from labels (id_col, toxic 0 or 1) and the texts of docs.
 
     Both classes give as many rows as the smaller one has, max_docs at most, those of the
@@ -251,14 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = features(sent.value, batch.column(0).to_pylist())
-            columns = [batch.column(1), *(pa.array(found[:, k].copy()) for k in range(3))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "x0", "x1", "x2"])
+            columns = [batch.column(1), *(pa.array(found[:, k].copy()) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "x0", "x1", "x2", "x3"])
 
-    found = rows.where(aside).mapInArrow(run, "toxic int, x0 double, x1 double, x2 double").toPandas()
+    found = rows.where(aside).mapInArrow(run, "toxic int, x0 double, x1 double, x2 double, x3 double").toPandas()
     y = found["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
-        x = np.column_stack([found[["x0", "x1", "x2"]].to_numpy(float), np.ones(len(y))])
-        model["scale"] = np.append(np.maximum(x[:, :3].std(axis=0), 1e-9), 1.0)
+        x = np.column_stack([found[["x0", "x1", "x2", "x3"]].to_numpy(float), np.ones(len(y))])
+        model["scale"] = np.append(np.maximum(x[:, :4].std(axis=0), 1e-9), 1.0)
         model["weights"] = logistic(x / model["scale"], y)
     return model
 
