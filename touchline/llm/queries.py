@@ -8,13 +8,86 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import language, lines, mixing, packing, simhash, toxicity
+from touchline.llm import html, language, lines, mixing, packing, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The dated list of op1: list, pattern, action, date.
+URL_LIST = (
+    ("adult", "adult-x.example.com", "add", "2023-06-01"),
+    ("adult", "adult-x.example.com", "remove", "2024-06-10"),
+    ("adult", "adult-x.example.com", "add", "2024-07-01"),
+    ("gambling", "casino-win.example.com", "add", "2024-02-01"),
+    ("gambling", "casino-win.example.com", "remove", "2024-05-01"),
+    ("gambling", "casino-win.example.com", "add", "2024-08-01"),
+    ("gambling", "free-bets.example.net", "add", "2024-03-15"),
+    ("pharma", "cheap-pills.example.com", "add", "2023-12-01"),
+    ("pharma", "cheap-pills.example.com", "remove", "2024-09-01"),
+    ("spam", "tionsh.example.net/de", "add", "2024-04-01"),
+    ("spam", "tionsh.example.net/de", "remove", "2024-10-01"),
+    ("spam", "ththth.example.org", "add", "2024-01-15"),
+    ("spam", "ththth.example.org", "remove", "2024-01-15"),
+    ("copyright", "tionble.example.com/en", "add", "2024-05-20"),
+    ("copyright", "example.org", "add", "2024-11-01"),
+    ("allow", "thther.example.org", "add", "2024-01-01"),
+    ("allow", "thther.example.org/de", "add", "2024-01-01"),
+    ("spam", "thther.example.org/de", "add", "2024-11-15"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against the dated list; a page counts as fetched page_id mod 366 days after 2024-01-01."""
+    entries = spark.createDataFrame(URL_LIST, "list_name string, pattern string, action string, dated string")
+    entries = entries.withColumn("dated", F.to_date("dated"))
+    fetched = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_on"))
+    found = urls.filter_urls(captures, entries)
+    verdict = F.col("url_filter.blocked").cast("int").alias("blocked")
+    rest = [F.col(f"url_filter.{c}").alias(c) for c in ("list_name", "pattern", "active")]
+    return found.select("page_id", "url", "fetched_on", urls.host("url").alias("host"), verdict, *rest)
+
+
+OP1_SQL = f"""
+with entries(list_name, pattern, action, dated) as (
+  select column0, column1, column2, cast(column3 as date) from (values {", ".join(map(str, URL_LIST))}) as t(column0, column1, column2, column3)
+), spans as (
+  select list_name, pattern, action, dated as valid_from,
+         lead(dated) over (partition by list_name, pattern order by dated, action) as valid_to
+  from entries
+), live as (
+  select list_name, pattern, valid_from, valid_to, split_part(pattern, '/', 1) as eh,
+         substr(pattern, length(split_part(pattern, '/', 1)) + 1) as ep
+  from spans where action = 'add' and (valid_to is null or valid_to > valid_from)
+), captures as (
+  select page_id, url, cast(date '2024-01-01' + cast(((page_id % 366) + 366) % 366 as integer) as date) as fetched_on,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) as host,
+         '/' || trim(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)), '/+', '/', 'g'), '/') as path
+  from pages
+), met as (
+  select c.page_id, c.url, c.fetched_on, c.host, l.list_name, l.pattern
+  from captures c left join live l
+    on (c.host = l.eh or ends_with(c.host, '.' || l.eh)) and (l.ep = '' or c.path = l.ep or starts_with(c.path, l.ep || '/'))
+   and c.fetched_on >= l.valid_from and (l.valid_to is null or c.fetched_on < l.valid_to)
+), ranked as (
+  select *, count(list_name) over (partition by page_id) as active,
+         row_number() over (partition by page_id
+           order by length(pattern) desc nulls last, case when list_name = 'allow' then 0 else 1 end, list_name, pattern) as rn
+  from met
+)
+select page_id, url, fetched_on, host,
+       cast(case when list_name is null or list_name = 'allow' then 0 else 1 end as integer) as blocked,
+       list_name, pattern, cast(active as bigint) as active
+from ranked where rn = 1
+"""
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"), [F.col("page_id"), F.col("url")])
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("lines.total").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"), "text")
@@ -59,8 +132,8 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing}
+    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL}
