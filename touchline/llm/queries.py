@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, lines, mixing, packing, simhash, sketches, toxicity, urls
+from touchline.llm import html, language, lines, mixing, packing, search, simhash, sketches, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,12 +131,18 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every document whose id is divisible by 50."""
+    docs = _table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op10_fingerprints": op10_fingerprints}
+    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
