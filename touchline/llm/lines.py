@@ -7,8 +7,7 @@ similarity of the shingle sets decides. Links are closed by distributed union-fi
 
 A bucket of a band is never expanded into all its pairs. Its members are compared with
 the smallest one, and components are formed. Members that are then still apart from it
-are compared with all of another component if the bucket is small, else with the smallest
-of them, in rounds, until every member is in the component of a line it was compared with.
+are compared with all members of the bucket, in blocks, and only links come out.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from touchline.llm.common import components, cut, discard
 SECOND_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)  # so that Spark's xxhash64(1, line) is the same
 BLANK = " \t\r\x0b\x0c"
 CHUNK = 1 << 20
+BLOCK_LINES = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,6 +81,17 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def similar(sets: list[np.ndarray], first: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of one of the first sets and one of the others with the similarity."""
+    sizes = np.array([len(x) for x in sets])
+    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), len(vocabulary)), np.float32)
+    held[np.repeat(np.arange(len(sets)), sizes), code] = 1
+    both = held[:first] @ held[first:].T
+    whole = sizes[:first, None] + sizes[None, first:] - both
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(both >= threshold * whole - 1e-6), strict=True)]
+
+
 def _occurrences(docs: DataFrame, columns: list[Column], text_col: str, min_chars: int, shingle: int, bands: int, rows: int) -> DataFrame:
     """columns, pos, h1, h2 of every line that takes part, and keys where a line comes first in its batch."""
     picked = docs.select(*columns, F.col(text_col).alias("__text"))
@@ -164,14 +175,6 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return joined.mapInArrow(run, f"a long, b long, na {node}, nb {node}, linked boolean")
 
 
-def _apart(rows: DataFrame, roots: DataFrame, *ends: str) -> DataFrame:
-    """rows whose ends are not in one component, with the components in r_ and the end's name; roots: h1, root."""
-    for end in ends:
-        own = roots.select(F.col("h1").alias(end), F.col("root").alias(f"r_{end}"))
-        rows = rows.join(own, end, "left").withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
-    return rows.where(F.col(f"r_{ends[0]}") != F.col(f"r_{ends[1]}")) if len(ends) > 1 else rows
-
-
 def near_links(
     docs: DataFrame,
     seen: DataFrame,
@@ -179,7 +182,6 @@ def near_links(
     min_chars: int = 20,
     shingle: int = 7,
     threshold: float = 0.8,
-    small: int = 64,
 ) -> DataFrame:
     """a, b: links between different lines (nodes of two hashes) of the threshold's similarity at least.
 
@@ -198,34 +200,49 @@ def near_links(
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(_verify(pairs.distinct(), texts, shingle, threshold).where("linked").select("na", "nb"), "verified")
 
-    def roots(links: list[DataFrame]) -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        found = components(every.select(F.col("na.h1").alias("a"), F.col("nb.h1").alias("b")))
-        return found.withColumnRenamed("node", "h1")
-
-    links = [verified(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))]
-    own = roots(links)
-    sizes = cut(members.groupBy("key").count().where(F.col("count") < small).select("key"), "sizes")
-    open_ = cut(_apart(members, own, "id", "lo"), "open")
-    few = open_.join(sizes, "key", "left_semi")
-    if not few.isEmpty():
-        x = few.select("key", F.col("id").alias("x"), F.col("r_id").alias("rx"))
-        rest = cut(members.join(few.select("key").distinct(), "key", "left_semi"), "rest")
-        y = _apart(rest.select("key", F.col("id").alias("y")), own, "y")
-        met = x.join(y, "key").where("rx != r_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        links.append(verified(met))
-    open_ = cut(open_.join(sizes, "key", "left_anti").select("key", "id"), "open")
-    while not open_.isEmpty():
-        lows = cut(open_.groupBy("key").agg(F.min("id").alias("lo")), "lows")
-        again = cut(open_.join(lows, "key").where("id > lo"), "again")
-        links.append(verified(again.select(F.col("lo").alias("a"), F.col("id").alias("b"))))
-        open_ = cut(_apart(again, roots(links), "id", "lo").select("key", "id"), "open")
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    return every.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    links = verified(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    found = components(links.select(F.col("na.h1").alias("a"), F.col("nb.h1").alias("b")))
+    roots = found.select(F.col("node").alias("id"), "root")
+    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = cut(placed.join(roots.select(F.col("id").alias("lo"), F.col("root").alias("lo_root")), "lo", "left"), "placed")
+    apart = placed.where(F.col("root") != F.coalesce("lo_root", "lo"))
+    more = _block_links(apart, placed, texts, shingle, threshold)
+    return links.union(cut(more, "verified")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def _block_links(apart: DataFrame, members: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """na, nb: links of the bucket members that are apart from their bucket's smallest line to all members of it.
+
+    A bucket's members are dealt by hash into blocks of about BLOCK_LINES lines, and each
+    block of members that are apart meets each block of the bucket: a task holds two blocks
+    at once, and counts shared shingles by a matrix product. Only links come out.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
+    wanted = cut(sizes.join(apart.select("key").distinct(), "key"), "sizes")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.select("key", "id", "root").join(wanted, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        full = dealt.join(texts.select(F.col("h1").alias("id"), "h2", "line"), "id")
+        return full.groupBy("key", "block").agg(F.collect_list(F.struct("id", "h2", "root", "line")).alias(name)).drop("block")
+
+    met = blocks(apart, "xs").join(blocks(members, "ys"), "key").select("xs", "ys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
+                xs, ys = xs.as_py(), ys.as_py()
+                near = similar(shingle_sets([r["line"] for r in xs + ys], shingle), len(xs), threshold)
+                for i, j in near:
+                    x, y = xs[i], ys[j]
+                    if x["root"] != y["root"]:
+                        a.append({"h1": x["id"], "h2": x["h2"]})
+                        b.append({"h1": y["id"], "h2": y["h2"]})
+            node = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(a, node), pa.array(b, node)], ["na", "nb"])
+
+    node = "struct<h1:bigint,h2:bigint>"
+    return met.mapInArrow(run, f"na {node}, nb {node}")
 
 
 def dropped_lines(
