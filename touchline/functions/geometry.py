@@ -69,3 +69,8 @@ def kalman_measure(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def between(a: Column, b: Column, share: Column) -> Column:
     """Linear interpolation, at a for share 0 and b for share 1."""
     return a + (b - a) * share
+
+
+def frame_at(seconds: Column, fps: float) -> Column:
+    """The frame shown at a time, rounded down."""
+    return F.floor(seconds * fps).cast("long")

@@ -14,6 +14,12 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where("__rank = 1").drop("__rank")
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group by order, numbered in place."""
+    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("place") <= most)
+
+
 def merge_updates(current: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """current with the columns of the one update of each key where they are not null."""
     new = updates.select(key, *(F.col(c).alias(f"__new_{c}") for c in columns))

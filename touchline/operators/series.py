@@ -103,3 +103,10 @@ def carry_forward(df: DataFrame, keys: list[str], column: str, out: str, order:
     where = ordered(keys, order)
     past, future = where.rowsBetween(Window.unboundedPreceding, 0), where.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(out, F.coalesce(F.last(column, True).over(past), F.first(column, True).over(future)))
+
+
+def inner_frames(df: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+    """df without the first and the last row of each series."""
+    where = ordered(keys, order)
+    marked = df.withColumns({"__before": F.lag(order).over(where), "__after": F.lead(order).over(where)})
+    return marked.where("__before is not null and __after is not null").drop("__before", "__after")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.plans import store, tracking
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return tracking.registry.queries | store.registry.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return tracking.registry.sql | store.registry.sql
