@@ -7,7 +7,9 @@ similarity of the shingle sets decides. Links are closed by distributed union-fi
 
 A bucket of a band is never expanded into all its pairs. Its members are compared with
 the smallest one, and components are formed. Members that are then still apart from it
-are compared with all members of the bucket, in blocks, and only links come out.
+are compared with all members of the bucket: one by one where the bucket is of FEW_LINES
+lines at most, so that a pair of several buckets is compared once, and else in blocks, of
+which only links come out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from touchline.llm.common import components, cut, discard
 SECOND_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)  # so that Spark's xxhash64(1, line) is the same
 BLANK = " \t\r\x0b\x0c"
 CHUNK = 1 << 20
+FACTOR = 0x9E3779B97F4A7C15
 BLOCK_LINES = 64
+FEW_LINES = 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,18 +40,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolled(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rolling hashes over all lines, joined, and where each line's own hashes start and end."""
-    units = np.frombuffer("\n".join(lines).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
-    rolled = np.zeros(len(units) - shingle + 1, np.uint64)
-    for j in range(shingle):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + units[j : j + len(rolled)]
-    sizes = np.array([len(x.encode("utf-16-le", "surrogatepass")) // 2 for x in lines])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    return _mix(rolled), starts, starts + sizes - shingle + 1
+    """Rolling hashes over all lines, joined, and where each line's own hashes start and end.
+
+    A hash of n characters is made of two of n / 2, so a shingle takes few passes.
+    """
+    units = np.frombuffer("\n".join(lines).encode("utf-16-le", "surrogatepass"), np.uint16)
+    ends = np.append(np.nonzero(units == 10)[0], len(units))  # a line holds no line break
+    single = units.astype(np.uint64)
+    rolled, width = single, 1
+    for bit in bin(shingle)[3:]:
+        size = len(rolled) - width
+        rolled = rolled[:size] * np.uint64(pow(FACTOR, width, 1 << 64)) + rolled[width : width + size]
+        width *= 2
+        if bit == "1":
+            size = len(units) - width
+            rolled = rolled[:size] * np.uint64(FACTOR) + single[width : width + size]
+            width += 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return _mix(rolled), starts, ends - shingle + 1
+
+
+def _groups(lines: list[str], size: int = 1 << 15) -> Iterator[list[str]]:
+    """The lines in order, in groups of about size characters, whose arrays stay in a processor's cache."""
+    at, held = 0, 0
+    for i, line in enumerate(lines):
+        held += len(line) + 1
+        if held >= size:
+            yield lines[at : i + 1]
+            at, held = i + 1, 0
+    if at < len(lines):
+        yield lines[at:]
 
 
 def band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
     """For each line (of shingle characters at least) a key for each band of its MinHash signature."""
+    return np.concatenate([_band_keys(own, shingle, bands, rows) for own in _groups(lines)])
+
+
+def _band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
     rolled, starts, ends = _rolled(lines, shingle)
     base = (rolled >> np.uint64(32)).astype(np.uint32)
     edges = np.stack([starts, ends], axis=1).ravel()[:-1]
@@ -137,7 +167,8 @@ def _texts(docs: DataFrame, text_col: str, min_chars: int, wanted: DataFrame) ->
     split = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("raw"))
     trimmed = split.select(F.expr(f"trim(BOTH '{BLANK}' FROM raw)").alias("line")).where(F.length("line") >= min_chars)
     hashed = trimmed.select("line", F.xxhash64("line").alias("h1"))
-    some = _in_bitmap(hashed, "h1", wanted, "h1").join(wanted, "h1", "left_semi")
+    # An inner join, as wanted is distinct: Spark moves a semi join below the bitmap, and then shuffles every line.
+    some = _in_bitmap(hashed, "h1", wanted, "h1").join(wanted, "h1")
     return some.select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "line").dropDuplicates(["h1", "h2"])
 
 
@@ -206,19 +237,26 @@ def near_links(
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = cut(placed.join(roots.select(F.col("id").alias("lo"), F.col("root").alias("lo_root")), "lo", "left"), "placed")
     apart = placed.where(F.col("root") != F.coalesce("lo_root", "lo"))
-    more = _block_links(apart, placed, texts, shingle, threshold)
-    return links.union(cut(more, "verified")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-
-
-def _block_links(apart: DataFrame, members: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(apart.select("key").distinct(), "key")
+    sizes = cut(sizes, "sizes")
+    few, many = sizes.where(F.col("n") <= FEW_LINES).select("key"), sizes.where(F.col("n") > FEW_LINES)
+    one = apart.join(few, "key").select("key", "id", "root")
+    other = placed.join(few, "key").select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
+    pairs = one.join(other, "key").where("root <> root2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    more = _block_links(apart, placed, many.select("key", F.ceil(F.col("n") / BLOCK_LINES).alias("blocks")), texts, shingle, threshold)
+    found = links.union(verified(pairs)).union(cut(more, "verified"))
+    return found.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def _block_links(apart: DataFrame, members: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """na, nb: links of the bucket members that are apart from their bucket's smallest line to all members of it.
 
+    wanted: key and number of blocks of the buckets to look into.
+
     A bucket's members are dealt by hash into blocks of about BLOCK_LINES lines, and each
     block of members that are apart meets each block of the bucket: a task holds two blocks
     at once, and counts shared shingles by a matrix product. Only links come out.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
-    wanted = cut(sizes.join(apart.select("key").distinct(), "key"), "sizes")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         dealt = rows.select("key", "id", "root").join(wanted, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
