@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +43,20 @@ def test_hard_rows_and_no_labels(spark):
     model = toxicity.fit(docs, labels)
     found = toxicity.score(docs, model, [F.col("doc_id"), F.col("lines")])
     assert found.count() == len(texts) and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_rare_words_and_all_ordinary_rows_count(spark):
+    name = "abcdefghijklmnopqrstuvwxyz"
+    own = [f"own{name[i // 26]}{name[i % 26]}" for i in range(220)]  # one word of its own in each text
+    docs = documents(spark, [f"some words before {w} and some after" for w in own])
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(220)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = toxicity._look(model["word"], model["uni"], toxicity.word_hashes(own), 0.0)
+    assert (found[:20] > 0).sum() > 10 and (found[20:] < 0).sum() > 130
+
+
+def test_context_of_one_class_is_no_evidence():
+    first, second = np.array([1, 3, 3], np.uint64), np.array([3, 5, 7], np.uint64)
+    model = toxicity.fit_model(first, second, np.array([1, 1, 0], np.int32), np.array([0, 2, 9], np.int32))
+    at = np.searchsorted(model["pair"], toxicity.pair_hash(first[:1], second[:1]))[0]
+    assert 0 < model["bi"][at] < 2

@@ -1,12 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
 One bigram model is fitted to toxic and one to ordinary texts. Both discount by absolute
-amounts and back off to their class's continuation counts (in how many distinct contexts
-a word stands), and these to counts that both classes share: what either was discounted.
-Counts below ``cutoff`` are discounted whole, so a rare expression is judged by the shared
-counts alone, equally in both classes. A text's log-likelihood ratio is taken per word, as a mean
-over the text, as the largest mean over a window, and for the square root of its length; a
-logistic function fitted on rows that were not counted turns these into a score.
+amounts, every count by the same, and back off to the bigram counts of both classes
+together, then to their class's continuation counts (in how many distinct contexts a word
+stands), and these to counts that both classes share: what either was discounted. So a
+context that only one class has met is no evidence by itself. A text's log-likelihood ratio is
+taken per word, as a mean over the text, as the largest mean over a window, and for the square
+root of its length; a logistic function fitted on rows that were not counted turns these
+into a score, both classes weighing the same.
 
 The models are fitted on a bounded sample of labelled rows, max_docs of each class.
 """
@@ -29,6 +30,8 @@ STRONG = 2.0
 LIMIT = 5.0  # no word counts for more than this log-ratio
 GROUP = 1 << 19  # words scored at once
 START = 0  # stands for the word before the first
+DISCOUNT = 0.75
+BIGRAMS = 1 << 18  # bigrams put into the model at once
 
 
 def words(text: str | None) -> list[str]:
@@ -46,7 +49,7 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _bigram_counts(sample: DataFrame) -> DataFrame:
-    """toxic, first, second, n over rows (text, toxic): before how many distinct words each bigram's own context stands.
+    """first, second, n1, n0 over rows (text, toxic): after how many distinct words each bigram stands in toxic and other rows.
 
     Copies of a text repeat its contexts and so add nothing.
     """
@@ -73,70 +76,50 @@ def _bigram_counts(sample: DataFrame) -> DataFrame:
                     yield emit(label, grams)
 
     grams = sample.select("text", "toxic").mapInArrow(run, "toxic int, before long, first long, second long")
-    return grams.distinct().groupBy("toxic", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+    bad = F.col("toxic")
+    return grams.distinct().groupBy("first", "second").agg(F.sum(bad).cast("int").alias("n1"), F.sum(1 - bad).cast("int").alias("n0"))
 
 
-def _tables(counts: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame, dict]:
-    """Words with continuation counts and context totals by class; bigrams of cutoff counts at least; sums."""
-    toxic = F.col("toxic") == 1
-    bigrams = counts.groupBy("first", "second").agg(
-        F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(~toxic, F.col("n")).otherwise(0)).alias("n0")
-    )
-    kept = bigrams.where((F.col("n1") >= cutoff) | (F.col("n0") >= cutoff))
-    per_second = bigrams.groupBy(F.col("second").alias("word")).agg(
-        F.sum((F.col("n1") > 0).cast("long")).alias("c1"),
-        F.sum((F.col("n0") > 0).cast("long")).alias("c0"),
-    )
-    return per_second, kept, bigrams
-
-
-def fit_model(seconds: pd.DataFrame, kept: pd.DataFrame, context: pd.DataFrame, sums: dict, cutoff: int) -> dict[str, np.ndarray]:
-    """Sorted hash arrays with log-ratios of words, contexts and bigrams.
-
-    seconds: word, c1, c0 of words with a class count of cutoff at least; sums: the
-    sums of c1 and c0 over all words; context: word, total1,
-    total0 of the contexts in kept.
-    """
-    discount = 0.75
-    order = np.argsort(seconds["word"].to_numpy(np.int64).view(np.uint64))
-    word = seconds["word"].to_numpy(np.int64).view(np.uint64)[order]
+def fit_model(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hash arrays with log-ratios of words, contexts and bigrams, from all bigrams (hashes) and their class counts."""
+    counts = {"1": n1, "0": n0}
+    word, place = np.unique(second, return_inverse=True)
+    ctx, of = np.unique(first, return_inverse=True)
+    place, of = place.astype(np.int32), of.astype(np.int32)
     p, left, given = {}, {}, np.zeros(len(word))
+    total_given = 0.0
     for c in "10":  # what a class takes from a count is what the shared counts get
-        n = seconds[f"c{c}"].to_numpy(float)[order]
-        p[c] = np.where(n >= cutoff, n - discount, 0) / max(1, sums[f"c{c}"])
+        n = np.bincount(place[counts[c] > 0], minlength=len(word))
+        whole, taken = max(1, n.sum()), np.minimum(n, DISCOUNT)
+        p[c] = (n - taken) / whole
         left[c] = max(1e-9, 1 - p[c].sum())
-        given += np.where(n >= cutoff, discount, n)
-    total_given = sum(left[c] * max(1, sums[f"c{c}"]) for c in "10")
+        given += taken
+        total_given += left[c] * whole
     for c in "10":
         p[c] = p[c] + left[c] * given / total_given
-    uni = np.log(p["1"]) - np.log(p["0"])
-    ctx = context["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(ctx)
-    ctx, place = ctx[order], None
-    first = kept["first"].to_numpy(np.int64).view(np.uint64)
-    second = kept["second"].to_numpy(np.int64).view(np.uint64)
-    of = np.searchsorted(ctx, first)
-    place = np.minimum(np.searchsorted(word, second), max(0, len(word) - 1))
-    known = word[place] == second if len(word) else np.zeros(len(second), bool)
-    logp, back = {}, {}
-    for c in "10":
-        total = np.maximum(context[f"total{c}"].to_numpy(float)[order], 1)
-        n = kept[f"n{c}"].to_numpy(float)
-        n = np.where(n >= cutoff, n - discount, 0)
-        lam = np.maximum(1 - np.bincount(of, n, len(ctx)) / total, 1e-9)
-        lower = np.where(known, p[c][place] if len(word) else 0, left[c] / total_given)
-        back[c] = np.log(lam)
-        logp[c] = np.log(n / total[of] + lam[of] * lower) if len(of) else np.zeros(0)
-    key = pair_hash(first, second)
+    total, rest = {}, {}
+    for c in ("1", "0", "both"):
+        n = n1 + n0 if c == "both" else counts[c]
+        total[c] = np.maximum(np.bincount(of, n, len(ctx)), 1)
+        rest[c] = np.maximum(1 - np.bincount(of, np.maximum(n - DISCOUNT, 0), len(ctx)) / total[c], 1e-9)
+    key, bi = np.empty(len(first), np.uint64), np.empty(len(first), np.float32)
+    for low in range(0, len(first), BIGRAMS):
+        some = slice(low, low + BIGRAMS)
+        at, to, logp = of[some], place[some], {}
+        shared = np.maximum(n1[some] + n0[some] - DISCOUNT, 0) / total["both"][at]
+        for c in "10":
+            lower = shared + rest["both"][at] * p[c][to]
+            logp[c] = np.log(np.maximum(counts[c][some] - DISCOUNT, 0) / total[c][at] + rest[c][at] * lower)
+        key[some], bi[some] = pair_hash(first[some], second[some]), logp["1"] - logp["0"]
     order = np.argsort(key)
     return {
         "word": word,
-        "uni": uni,
+        "uni": np.log(p["1"]) - np.log(p["0"]),
         "unseen": np.array([np.log(left["1"]) - np.log(left["0"])]),
         "context": ctx,
-        "back": back["1"] - back["0"],
+        "back": np.log(rest["1"]) - np.log(rest["0"]),
         "pair": key[order],
-        "bi": (logp["1"] - logp["0"])[order],
+        "bi": bi[order],
         "weights": np.zeros(0),
     }
 
@@ -211,44 +194,39 @@ def scores(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression, by Newton's method."""
+    """Weights of a logistic regression, by Newton's method; the rows of either class weigh the same together."""
     w = np.zeros(x.shape[1])
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * len(y) * np.eye(len(w)) / 10, x.T @ (y - p) - ridge * len(y) / 10 * w)
+        step = np.linalg.solve((x.T * (share * p * (1 - p))) @ x + ridge * len(y) * np.eye(len(w)) / 10, x.T @ (share * (y - p)) - ridge * len(y) / 10 * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 10_000, cutoff: int = 8):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 10_000):
     """The model, from labels (id_col, toxic 0 or 1) and the texts of docs.
 
-    Both classes give as many rows as the smaller one has, max_docs at most, those of the
-    smallest hashes of their ids: models of equal size discount alike. A fifth of them is
-    not counted but fits the logistic function. Ids with several labels count
+    Each class gives all its rows, max_docs at most, those of the smallest hashes of their
+    ids. A fifth of them is not counted but fits the logistic function. The driver holds all
+    bigrams of the rest, which max_docs bounds. Ids with several labels count
     as toxic if one says so; null labels, ids and texts are left out. Without labels of
     both classes all scores are 0.
     """
     spark = docs.sparkSession
     known = labels.where(f"toxic in (0, 1) and `{id_col}` is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("id", F.lit(4))
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    size = min(max_docs, sizes.get(0, 0), sizes.get(1, 0))
-    sample = [known.where(F.col("toxic") == c).orderBy(draw, "id").limit(size) for c in (0, 1)]
+    sample = [known.where(F.col("toxic") == c).orderBy(draw, "id").limit(max_docs) for c in (0, 1)]
     sample = sample[0].union(sample[1])  # at most 2 * max_docs ids, so the join may broadcast them
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "id").select("text", F.col("toxic").cast("int").alias("toxic"), "id")
     aside = F.xxhash64("id", F.lit(5)).bitwiseAND(1023) < 205
-    counts = _bigram_counts(rows.where(~aside)).cache()
-    seconds, kept, bigrams = _tables(counts, cutoff)
-    sums = seconds.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c1", "c0"))).collect()[0].asDict()
-    seconds = seconds.where((F.col("c1") >= cutoff) | (F.col("c0") >= cutoff)).toPandas()
-    totals = bigrams.groupBy(F.col("first").alias("word")).agg(F.sum("n1").alias("total1"), F.sum("n0").alias("total0"))
-    context = totals.join(kept.select(F.col("first").alias("word")).distinct(), "word", "left_semi").toPandas()
-    model = fit_model(seconds, kept.toPandas(), context, sums, cutoff)
-    counts.unpersist()
+    counts = _bigram_counts(rows.where(~aside)).toArrow()
+    hashes = [counts[c].to_numpy().view(np.uint64) for c in ("first", "second")]
+    model = fit_model(*hashes, counts["n1"].to_numpy(), counts["n0"].to_numpy())
+    del counts, hashes
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "x0", "x1", "x2", "x3"])
 
     found = rows.where(aside).mapInArrow(run, "toxic int, x0 double, x1 double, x2 double, x3 double").toPandas()
+    sent.destroy()
     y = found["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([found[["x0", "x1", "x2", "x3"]].to_numpy(float), np.ones(len(y))])
