@@ -59,3 +59,22 @@ def test_hard_rows(spark):
     assert kept.columns == docs.columns and all(r["text"] and r["text"].split() for r in kept.collect())
     empty, _ = mixing.mix(docs.limit(0))
     assert empty.count() == 0
+
+
+def test_filling_goes_on_until_nothing_fits(spark):
+    sizes = [900] + [1 + i % 7 for i in range(200)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for s in ("a", "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in range(2):
+        mixed, plan = mixing.mix(docs, weights={"a": 1, "b": 2}, seed=seed)
+        rows = mixed.select("source", "mix.size", "mix.taken").collect()
+        for name, _, target in plan.sources:
+            own = [r for r in rows if r["source"] == name]
+            gap, passes = round(target) - sum(r["taken"] for r in own), min(r["taken"] // r["size"] for r in own)
+            left = [r["size"] for r in own if r["taken"] // r["size"] == passes]
+            assert gap == 0 or 0 < gap < min(left)
+
+
+def test_rows_of_one_rank_that_do_not_fit_together(spark):
+    docs = spark.createDataFrame([(1, "w " * 6, "a")] * 3 + [(2, "w " * 5, "a"), (3, "w " * 20, "b")], "doc_id long, text string, source string")
+    mixed, plan = mixing.mix(docs, weights={"a": 1, "b": 3})
+    assert {r["doc_id"]: r["taken"] for r in mixed.select("doc_id", "mix.taken").collect()}[2] == 5

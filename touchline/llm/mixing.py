@@ -7,7 +7,8 @@ patterns and sources only, never over documents; how many patterns there may be
 documented bound max_patterns. A pattern that is to give f words out of w gives f // w
 whole passes and f % w words of seeded, randomly ranked documents. The rank at which
 these end is found by radix selection: sums by rank digit, then within the digit that
-holds the end, and so on, so no task ever orders all documents of a pattern.
+holds the end, and so on, so no task ever orders all documents of a pattern. The same is
+done again over the later documents that are no larger than the words left, until none fits.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from touchline.llm.common import cut, discard
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 DIGIT_BITS = 10
+RANK_SHIFT = 63 % DIGIT_BITS  # ranks that differ in fewer bits are not told apart
+LAST = (1 << 63) - 1  # above every rank but itself
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -111,9 +114,16 @@ def route(patterns: list[tuple[str, list[str | None], int]], weights: dict | Non
     return plan
 
 
-def _prefix(ranked: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int]]:
-    """For each pattern the rank before which documents fit into its rest, and the words then left."""
+def _prefix(ranked: DataFrame, rest: dict[str, int], fits: dict[str, tuple[int, int]] | None = None) -> dict[str, tuple[int, int]]:
+    """For each pattern the rank before which documents fit into its rest, and the words then left.
+
+    fits: for each pattern the rank from which and the size up to which documents are looked at (default: all).
+    """
     spark = ranked.sparkSession
+    if fits is not None:
+        rows = [(k, low, size) for k, (low, size) in fits.items()]
+        within = spark.createDataFrame(rows, "pattern string, from_rank long, most long")
+        ranked = ranked.join(F.broadcast(within), "pattern").where("rank >= from_rank and size <= most").drop("from_rank", "most")
     ends, done = {}, {key: (0, left) for key, left in rest.items() if left <= 0}
     open_ = {key: (0, left) for key, left in rest.items() if left > 0}  # lowest rank still open, words left
     for level in range(1, 63 // DIGIT_BITS + 1):
@@ -146,6 +156,29 @@ def _prefix(ranked: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, int
     return done | ends
 
 
+def _runs(ranked: DataFrame, rest: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each pattern the runs of ranks (from, before, largest size) whose documents fill its rest, until nothing fits.
+
+    Each run ends before a document larger than the words then left, and the next one looks
+    only at later documents that fit. Rows of one rank are taken or passed over together.
+    """
+    runs: dict[str, list[tuple[int, int, int]]] = {key: [] for key in rest}
+    fits = {key: (0, left) for key, left in rest.items() if left > 0}
+    while fits:
+        ends = _prefix(ranked, {key: left for key, (_, left) in fits.items()}, fits)
+        for key, (low, left) in list(fits.items()):
+            high, still = ends[key]
+            if high >= LAST or still < left:  # at LAST all that remains fits
+                runs[key].append((low, high, left))
+            else:  # rows of one rank, which do not fit together
+                high += 1 << RANK_SHIFT
+            if high >= LAST or still <= 0:
+                del fits[key]
+            else:
+                fits[key] = (high, still)
+    return runs
+
+
 def _drawn(docs: DataFrame, id_col: str, text_col: str, memberships: Column | None, seed: int) -> Column:
     """size, members, pattern and rank of a document, as a struct."""
     members = F.array("source") if memberships is None else memberships
@@ -165,15 +198,14 @@ def mix(
     max_repeats: int = 3,
     seed: int = 42,
     max_patterns: int = 4096,
-    fills: int = 3,
 ) -> tuple[DataFrame, Plan]:
     """docs with a struct ``mix`` (size, members, pattern, taken) added, and the plan.
 
     memberships: array of the sources of a document (default: its one source; null is a
     source of its own, an empty array none). weights: by source (default 1, 2, 3,
     repeating, over sources by code point, null last). taken is a multiple of size:
-    documents are taken whole. After the ranked prefix, up to ``fills`` further documents
-    of each pattern, the largest that fit, bring it closer to its words. Rows equal in id
+    documents are taken whole. A document that does not fit is passed
+    over, and so on until none that is left fits the pattern's words. Rows equal in id
     and text share one draw; empty and null texts have size 0 and nothing is taken of
     them; an empty table gives no rows. A column named mix is replaced. More than
     max_patterns patterns raise an error.
@@ -188,30 +220,13 @@ def mix(
     plan = route([(r["pattern"], list(r["members"]), r["words"]) for r in rows], weights, max_repeats)
 
     ranked = sized.select("pattern", "rank", "size").where("size > 0")
-    ends = _prefix(ranked, plan.rest)
-    extra: dict[str, list[int]] = {key: [] for key in ends}
-    left = {key: words for key, (_, words) in ends.items() if words > 0}
-    state_type = "pattern string, passes long, upto long, open_words long, extra array<long>"
-    for _ in range(fills):
-        if not left:
-            break
-        state = spark.createDataFrame([(k, 0, ends[k][0], w, extra[k]) for k, w in left.items()], state_type)
-        fits = ranked.join(F.broadcast(state), "pattern").where(
-            "rank >= upto and size <= open_words and not array_contains(extra, rank)"
-        )
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "rank")).alias("best"))
-        picked = {r["pattern"]: r["best"] for r in best.collect()}  # one row for each pattern
-        for key in list(left):
-            if key in picked:
-                extra[key].append(picked[key]["rank"])
-                left[key] -= picked[key]["size"]
-            if key not in picked or left[key] <= 0:
-                del left[key]
+    runs = _runs(ranked, plan.rest)
     discard(sized)
 
-    state = spark.createDataFrame([(k, plan.passes[k], ends[k][0], 0, extra[k]) for k in ends], state_type)
+    state_type = "pattern string, passes long, runs array<struct<low: long, high: long, most: long>>"
+    state = spark.createDataFrame([(k, plan.passes[k], runs[k]) for k in runs], state_type)
     state = state.select(*(F.col(c).alias(f"__{c}") for c in state.columns))
-    chosen = (F.col("mix.rank") < F.col("__upto")) | F.array_contains("__extra", F.col("mix.rank"))
+    chosen = F.expr("exists(__runs, r -> mix.rank >= r.low and mix.rank < r.high and mix.size <= r.most)")
     taken = F.col("mix.size") * (F.col("__passes") + F.when(chosen, 1).otherwise(0))
     drawn_docs = docs.withColumn("mix", drawn)  # patterns are bounded by max_patterns, so their state is broadcast
     joined = drawn_docs.join(F.broadcast(state), F.col("mix.pattern") == F.col("__pattern"))
