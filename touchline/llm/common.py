@@ -32,11 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL_FOLDER[0]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back, which ends its lineage.
 
-    Shuffle files of the finished jobs are given back afterwards: Spark frees them when
-    the driver's garbage collector notices that nothing refers to them any more.
+    free: shuffle files of the finished jobs are given back afterwards. Spark frees them when
+    the driver's garbage collector notices that nothing refers to them any more; small tables
+    of a loop leave that to the loop's end.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/touchline/{name}-{uuid.uuid4().hex}"
@@ -44,8 +45,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     table._touchline_path = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return table
 
 
@@ -69,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     over neighbours is combined before the shuffle. Nodes without an edge are not listed.
     """
     ends = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-    links = cut(edges.where(F.col(a) != F.col(b)).select(*ends).distinct(), "links")
+    links = cut(edges.where(F.col(a) != F.col(b)).select(*ends).distinct(), "links", free=False)
     levels: list[DataFrame] = []
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -78,15 +80,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min("b").alias("low"))
             .select("node", F.least("node", "low").alias("root")),
             "tree",
+            free=False,
         )
-        while True:
-            up = tree.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(
-                tree.join(up, "root").select(
-                    "node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")
-                ),
-                "tree",
-            )
+        while True:  # two jumps are one written table
+            up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            top = tree.select(F.col("node").alias("above"), F.col("root").alias("top"))
+            moved = (F.col("top") != F.col("root")).alias("moved")
+            jumped = tree.join(up, "root").join(top, "above").select("node", F.col("top").alias("root"), moved)
+            jumped = cut(jumped, "tree", free=False)
             still = jumped.where("moved").isEmpty()
             discard(tree)
             tree = jumped
@@ -96,14 +97,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         high = tree.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = links.join(low, "a").select("ra", "b").distinct().join(high, "b")
         rest = joined.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        shrunk = cut(rest.distinct(), "links")
+        shrunk = cut(rest.distinct(), "links", free=False)
         discard(links)
         links = shrunk
-        levels.append(tree.select("node", "root"))
+        levels.append(tree)
     if not levels:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = levels[0]
+    found = levels[0].select("node", "root")
     for level in levels[1:]:
         up = level.select(F.col("node").alias("root"), F.col("root").alias("top"))
         found = found.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return cut(found, "components")
+    named = cut(found, "components")
+    discard(*levels, links)
+    return named

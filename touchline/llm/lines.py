@@ -8,8 +8,9 @@ similarity of the shingle sets decides. Links are closed by distributed union-fi
 A bucket of a band is never expanded into all its pairs. Its members are compared with
 the smallest one, and components are formed. Members that are then still apart from it
 are compared with all members of the bucket: one by one where the bucket is of FEW_LINES
-lines at most, so that a pair of several buckets is compared once, and else in blocks, of
-which only links come out.
+lines at most, so that a pair of several buckets is compared once, and else in blocks. Of
+all blocks that a task compares only a spanning forest comes out: a link whose ends are
+connected by earlier links says nothing new.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ SECOND_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)  # so that S
 BLANK = " \t\r\x0b\x0c"
 CHUNK = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
-BLOCK_LINES = 64
-FEW_LINES = 32
+BLOCK_LINES = 256
+FEW_LINES = 16
+COLUMNS = 1 << 14  # shingles counted at once in a block
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,12 +114,24 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def similar(sets: list[np.ndarray], first: int, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of one of the first sets and one of the others with the similarity."""
+    """Pairs of one of the first sets and one of the others with the similarity.
+
+    Shared shingles are counted by matrix products over COLUMNS shingles at a time, which bounds the memory.
+    """
     sizes = np.array([len(x) for x in sets])
-    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.zeros((len(sets), len(vocabulary)), np.float32)
-    held[np.repeat(np.arange(len(sets)), sizes), code] = 1
-    both = held[:first] @ held[first:].T
+    distinct, code, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held_by[code] > 1  # a shingle of one line only is in no intersection
+    rank = np.cumsum(held_by > 1) - 1
+    owner, code = np.repeat(np.arange(len(sets)), sizes)[shared], rank[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((first, len(sets) - first), np.float32)
+    width = int(code[-1]) + 1 if len(code) else 0
+    for low in range(0, width, COLUMNS):
+        some = slice(*np.searchsorted(code, [low, low + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, width - low)), np.float32)
+        held[owner[some], code[some] - low] = 1
+        both += held[:first] @ held[first:].T
     whole = sizes[:first, None] + sizes[None, first:] - both
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(both >= threshold * whole - 1e-6), strict=True)]
 
@@ -236,6 +250,7 @@ def near_links(
     roots = found.select(F.col("node").alias("id"), "root")
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = cut(placed.join(roots.select(F.col("id").alias("lo"), F.col("root").alias("lo_root")), "lo", "left"), "placed")
+    discard(members, found)
     apart = placed.where(F.col("root") != F.coalesce("lo_root", "lo"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(apart.select("key").distinct(), "key")
     sizes = cut(sizes, "sizes")
@@ -243,40 +258,54 @@ def near_links(
     one = apart.join(few, "key").select("key", "id", "root")
     other = placed.join(few, "key").select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
     pairs = one.join(other, "key").where("root <> root2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    more = _block_links(apart, placed, many.select("key", F.ceil(F.col("n") / BLOCK_LINES).alias("blocks")), texts, shingle, threshold)
-    found = links.union(verified(pairs)).union(cut(more, "verified"))
-    return found.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    more = _block_links(apart, placed, many.select("key", F.ceil(F.col("n") / BLOCK_LINES).cast("long").alias("blocks")), texts, shingle, threshold)
+    single, forest = verified(pairs), cut(more, "verified")
+    discard(texts, placed, sizes)
+    found = cut(links.union(single).union(forest).select(F.col("na").alias("a"), F.col("nb").alias("b")), "near", free=False)
+    discard(links, single, forest)
+    return found
 
 
 def _block_links(apart: DataFrame, members: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """na, nb: links of the bucket members that are apart from their bucket's smallest line to all members of it.
+    """na, nb: links that connect the bucket members apart from their bucket's smallest line with all similar members of it.
 
     wanted: key and number of blocks of the buckets to look into.
 
     A bucket's members are dealt by hash into blocks of about BLOCK_LINES lines, and each
-    block of members that are apart meets each block of the bucket: a task holds two blocks
-    at once, and counts shared shingles by a matrix product. Only links come out.
+    block of members that are apart meets each block of the bucket, so a task holds two
+    blocks at once. Tasks are dealt by bucket and block. A task joins what it has linked by
+    union-find, from the components known before, and gives no more links than that has nodes.
     """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         dealt = rows.select("key", "id", "root").join(wanted, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         full = dealt.join(texts.select(F.col("h1").alias("id"), "h2", "line"), "id")
-        return full.groupBy("key", "block").agg(F.collect_list(F.struct("id", "h2", "root", "line")).alias(name)).drop("block")
+        return full.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("id", "h2", "root", "line")).alias(name))
 
-    met = blocks(apart, "xs").join(blocks(members, "ys"), "key").select("xs", "ys")
+    mine = blocks(apart, "xs").select("key", "xs", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    met = mine.join(blocks(members, "ys").drop("blocks"), ["key", "block"]).select("xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = x = top.get(up, up)
+            return x
+
+        node = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
         for batch in batches:
             a, b = [], []
-            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
-                xs, ys = xs.as_py(), ys.as_py()
-                near = similar(shingle_sets([r["line"] for r in xs + ys], shingle), len(xs), threshold)
-                for i, j in near:
-                    x, y = xs[i], ys[j]
-                    if x["root"] != y["root"]:
-                        a.append({"h1": x["id"], "h2": x["h2"]})
-                        b.append({"h1": y["id"], "h2": y["h2"]})
-            node = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+            for i in range(batch.num_rows):
+                (ids, h2s, roots, texts_), (other_ids, other_h2s, other_roots, others) = (
+                    [c[i].values.field(k).to_pylist() for k in range(4)] for c in batch.columns
+                )
+                for x, y in similar(shingle_sets(texts_ + others, shingle), len(ids), threshold):
+                    one, two = find(roots[x]), find(other_roots[y])
+                    if one != two:
+                        top[max(one, two)] = min(one, two)
+                        a.append({"h1": ids[x], "h2": h2s[x]})
+                        b.append({"h1": other_ids[y], "h2": other_h2s[y]})
             yield pa.RecordBatch.from_arrays([pa.array(a, node), pa.array(b, node)], ["na", "nb"])
 
     node = "struct<h1:bigint,h2:bigint>"
@@ -295,7 +324,9 @@ def dropped_lines(
     min_chars = max(min_chars, shingle)
     columns = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")]
     seen = cut(_occurrences(docs, columns, text_col, min_chars, shingle, bands, rows), "occurrences")
-    found = components(near_links(docs, seen, text_col, min_chars, shingle, **options))
+    near = near_links(docs, seen, text_col, min_chars, shingle, **options)
+    found = components(near)
+    discard(near)
     roots = cut(
         found.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2")),
         "roots",
@@ -304,11 +335,13 @@ def dropped_lines(
         F.struct("id", "hash", "pos").alias("at"), F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2")
     )
     classed = cut(classed, "classed")
-    discard(seen)
+    discard(seen, found, roots)
     first = classed.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     first = cut(first.where("n > 1").drop("n"), "first")
     extra = classed.join(first, ["r1", "r2"]).where(~F.col("at").eqNullSafe(F.col("first"))).select("at.*")
-    return cut(extra.groupBy("id", "hash").agg(F.collect_set("pos").alias("drop")), "drops")
+    drops = cut(extra.groupBy("id", "hash").agg(F.collect_set("pos").alias("drop")), "drops")
+    discard(classed, first)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
