@@ -62,7 +62,7 @@ def _rolled(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.
     return _mix(rolled), starts, ends - shingle + 1
 
 
-def _groups(lines: list[str], size: int = 1 << 15) -> Iterator[list[str]]:
+def _groups(lines: list[str], size: int = 1 << 16) -> Iterator[list[str]]:
     """The lines in order, in groups of about size characters, whose arrays stay in a processor's cache."""
     at, held = 0, 0
     for i, line in enumerate(lines):
@@ -81,14 +81,15 @@ def band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarr
 
 def _band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
     rolled, starts, ends = _rolled(lines, shingle)
-    base = (rolled >> np.uint64(32)).astype(np.uint32)
-    edges = np.stack([starts, ends], axis=1).ravel()[:-1]
+    across = (ends[:-1, None] + np.arange(shingle)).ravel()  # shingles of two lines
+    base = np.delete((rolled >> np.uint64(32)).astype(np.uint32), across)
+    edges = np.concatenate([[0], np.cumsum(ends - starts)[:-1]])
     odd = np.random.default_rng(2).integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
     signature = np.empty((bands * rows, len(lines)), np.uint64)
     scratch = np.empty_like(base)
     for k in range(bands * rows):
         np.multiply(base, odd[k], out=scratch)
-        signature[k] = np.minimum.reduceat(scratch, edges)[::2]
+        signature[k] = np.minimum.reduceat(scratch, edges)
     keys = np.empty((len(lines), bands), np.uint64)
     for band in range(bands):
         key = np.full(len(lines), band + 1, np.uint64)
@@ -101,7 +102,14 @@ def _band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndar
 def shingle_sets(lines: list[str], shingle: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each line's shingles."""
     rolled, starts, ends = _rolled(lines, shingle)
-    return [np.unique(rolled[low:high]) for low, high in zip(starts.tolist(), ends.tolist(), strict=True)]
+    found = []
+    for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
+        own = np.sort(rolled[low:high])
+        new = np.empty(len(own), bool)
+        new[0] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        found.append(own[new])
+    return found
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
