@@ -60,5 +60,15 @@ def test_model_sums_to_one():
     letters = sorted({int(c) & 0xFFFF for c in model.codes[1]})
     context = int(language.grams("abr", table)[2]) & ((1 << 48) - 1)
     codes = np.array([(context << 16 | c) & ((1 << 64) - 1) for c in letters], np.uint64)
-    total = np.exp(model.look_up(codes)).sum(axis=0) + np.exp(model.floor)
-    assert (abs(total - 1) < 0.05).all()
+    unknown = np.array([(context << 16 | 0x7A) & ((1 << 64) - 1)], np.uint64)  # z is in neither text
+    total = np.exp(model.look_up(codes)).sum(axis=0) + np.exp(model.look_up(unknown))[0]
+    assert 0x7A not in letters and (abs(total - 1) < 1e-6).all()
+
+
+def test_copies_do_not_decide_the_draw_and_names_may_clash(spark):
+    rows = [(i, "the same words again and again", "en", 0.5, "x") for i in range(400)] + [(1000 + i, f"other texte numero {i}", "fr", 0.5, "y") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language.fit(docs, max_docs=50)
+    assert model.langs == ["en", "fr"]
+    found = language.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and found.count() == len(rows)

@@ -8,7 +8,7 @@ matrix of back-off weights alike. A text is scored by the distinct n-grams of it
 found by binary search, and gets the language of least cross-entropy a character.
 
 The models are fitted on a bounded sample: about max_docs rows of each language, chosen
-by a hash of the text. A fifth of the sample is not counted but scored, and sets each
+by a hash of the row. A fifth of the sample is not counted but scored, and sets each
 language's limit of cross-entropy above which a text is rejected.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
@@ -74,7 +74,7 @@ def _ngram_counts(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     if own and (i < 0 or size > PIECE):
                         codes, n = np.unique(np.concatenate(own), return_counts=True)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)],
+                            [pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())],
                             ["lang", "code", "n"],
                         )
                         own, size = [], 0
@@ -114,7 +114,7 @@ class Model:
             at, there = _find(self.codes[order], part)
             out[left[there]] += self.logp[order][at[there]]
             left, part = left[~there], part[~there]
-            if order > 1 and len(left):
+            if len(left):
                 at, there = _find(self.contexts[order], part >> np.uint64(16))
                 out[left[there]] += self.backoff[order][at[there]]
         out[left] += self.floor
@@ -148,7 +148,7 @@ class Model:
         if some and self.langs:
             entropy, length = self.entropies([texts[i] for i in some], table)
             best = entropy.argmin(axis=1)
-            lead = (entropy.min(axis=1)[:, None] - entropy) * np.minimum(length, 64)[:, None]
+            lead = (entropy.min(axis=1)[:, None] - entropy) * (64 * length / (64 + length))[:, None]
             scores[some] = 1 / np.exp(lead).sum(axis=1)
             limit = np.inf if self.limits is None else self.limits[best] + 8 / np.sqrt(length)
             rejected[some] = entropy.min(axis=1) > limit
@@ -197,7 +197,8 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def _predicted(model: Model, rows: DataFrame, columns: list[Column], text_col: str) -> DataFrame:
     """columns of rows, with lang_pred, score, rejected and (for calibration) the entropy in each language."""
     sent = rows.sparkSession.sparkContext.broadcast(vars(model))
-    picked = rows.select(*columns, F.col(text_col).alias("__text"))
+    own = [c for c in rows.select(*columns).columns if c not in ("lang_pred", "score", "rejected")]
+    picked = rows.select(*columns, F.col(text_col).alias("__text")).select(*(f"`{c}`" for c in own), "__text")
     kept = picked.drop("__text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +215,30 @@ def _predicted(model: Model, rows: DataFrame, columns: list[Column], text_col: s
 
 
 def fit(
-    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 5000, quantile: float = 0.999
+    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 5000, quantile: float = 0.999, max_langs: int = 1000
 ) -> Model:
     """Models from rows of known language; rows without text, language or letters are left out.
 
     About max_docs rows of each language are counted or calibrated on (all, where there
-    are fewer), chosen by a hash of the text, whole texts each. No rows: a model without
+    are fewer), whole texts each, drawn by a hash of all their columns and bounded by
+    twice as many, so that copies of one text do not come in or stay out
+    together. More than max_langs languages raise an error. No rows: a model without
     languages, which predicts ``und``.
     """
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
-    draw = F.xxhash64("text", F.lit(6)).bitwiseAND((1 << 30) - 1)
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1, max_docs / n) * (1 << 30)))))
+    own = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() not in ("map", "variant")))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), own.alias("own"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than max_langs={max_langs} languages")
     if not sizes:
         return fit_counts({})
-    sample = rows.where(draw <= share[F.col("lang")])
-    aside = F.xxhash64("text", F.lit(7)).bitwiseAND(1023) < 205
+    draw = F.xxhash64("own", F.lit(6)).bitwiseAND((1 << 30) - 1)
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1, max_docs / n) * (1 << 30)))))
+    few = Window.partitionBy("lang").orderBy("draw", "own")
+    sample = rows.withColumn("draw", draw).where(F.col("draw") <= share[F.col("lang")])
+    sample = sample.withColumn("__nth", F.row_number().over(few)).where(F.col("__nth") <= 2 * max_docs)  # rows alike in all columns draw alike
+    aside = F.xxhash64("own", F.lit(7)).bitwiseAND(1023) < 205
     counted = _ngram_counts(sample.where(~aside), "text", "lang").toPandas()  # bounded by the sample
     counts = {
         lang: (own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy()) for lang, own in counted.groupby("lang")
@@ -260,7 +269,9 @@ def identify(docs: DataFrame, model: Model, columns: list[Column] | None = None,
     """columns of docs (default: all), lang_pred, score, rejected for every row.
 
     lang_pred is ``und``, the score 0 and the row rejected where the text is null or has
-    no letter. score is the posterior of the language if at most 64 characters count.
+    no letter. score is the posterior of the language, the text's length n counting as
+    64 n / (64 + n) characters. Columns of these three names are replaced. Equal rows get equal
+    results, an empty table gives no rows, and long texts are scored whole, in pieces.
     rejected: the text fits its language worse than the calibrated limit allows.
     """
     return _predicted(model, docs, columns or [F.col(f"`{c}`") for c in docs.columns], text_col)
