@@ -24,6 +24,7 @@ from touchline.llm.common import cut, discard
 WORD = r"[^\\x20\\x09-\\x0D]+"
 DIGIT_BITS = 10
 RANK_SHIFT = 63 % DIGIT_BITS  # ranks that differ in fewer bits are not told apart
+RUNS = "array<struct<low: long, high: long, most: long>>"
 LAST = (1 << 63) - 1  # above every rank but itself
 
 
@@ -179,6 +180,26 @@ def _runs(ranked: DataFrame, rest: dict[str, int]) -> dict[str, list[tuple[int,
     return runs
 
 
+def _tiers(ranked: DataFrame, plan: Plan, max_repeats: int) -> dict[str, list[list[tuple[int, int, int]]]]:
+    """For each pattern the runs of its last pass, and of further ones for words that no document not yet taken fits.
+
+    A further pass costs a repetition more, so it only gets what the pass before it left open,
+    and no document is taken more than max_repeats times.
+    """
+    tiers: dict[str, list[list[tuple[int, int, int]]]] = {key: [] for key in plan.rest}
+    left = dict(plan.rest)
+    while left:
+        runs = _runs(ranked, left)
+        for key, own in runs.items():
+            tiers[key].append(own)
+        state = ranked.sparkSession.createDataFrame(list(runs.items()), f"pattern string, runs {RUNS}")
+        chosen = ranked.join(F.broadcast(state), "pattern").where(F.expr("exists(runs, r -> rank >= r.low and rank < r.high and size <= r.most)"))
+        given = {r["pattern"]: r["words"] for r in chosen.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}  # a row a pattern
+        still = {key: n - given.get(key, 0) for key, n in left.items()}
+        left = {key: n for key, n in still.items() if 0 < n < left[key] and plan.passes[key] + len(tiers[key]) < max_repeats}
+    return tiers
+
+
 def _drawn(docs: DataFrame, id_col: str, text_col: str, memberships: Column | None, seed: int) -> Column:
     """size, members, pattern and rank of a document, as a struct."""
     members = F.array("source") if memberships is None else memberships
@@ -205,7 +226,8 @@ def mix(
     source of its own, an empty array none). weights: by source (default 1, 2, 3,
     repeating, over sources by code point, null last). taken is a multiple of size:
     documents are taken whole. A document that does not fit is passed
-    over, and so on until none that is left fits the pattern's words. Rows equal in id
+    over, and so on until none that is left fits the pattern's words; words that are then
+    open go to one more repetition of documents that fit. Rows equal in id
     and text share one draw; empty and null texts have size 0 and nothing is taken of
     them; an empty table gives no rows. A column named mix is replaced. More than
     max_patterns patterns raise an error.
@@ -220,18 +242,19 @@ def mix(
     plan = route([(r["pattern"], list(r["members"]), r["words"]) for r in rows], weights, max_repeats)
 
     ranked = sized.select("pattern", "rank", "size").where("size > 0")
-    runs = _runs(ranked, plan.rest)
+    tiers = _tiers(ranked, plan, max_repeats)
     discard(sized)
 
-    state_type = "pattern string, passes long, runs array<struct<low: long, high: long, most: long>>"
-    state = spark.createDataFrame([(k, plan.passes[k], runs[k]) for k in runs], state_type)
+    state_type = f"pattern string, passes long, tiers array<{RUNS}>"
+    state = spark.createDataFrame([(k, plan.passes[k], tiers[k]) for k in tiers], state_type)
     state = state.select(*(F.col(c).alias(f"__{c}") for c in state.columns))
-    chosen = F.expr("exists(__runs, r -> mix.rank >= r.low and mix.rank < r.high and mix.size <= r.most)")
-    taken = F.col("mix.size") * (F.col("__passes") + F.when(chosen, 1).otherwise(0))
+    chosen = F.expr("size(filter(__tiers, t -> exists(t, r -> mix.rank >= r.low and mix.rank < r.high and mix.size <= r.most)))")
+    taken = F.col("mix.size") * (F.col("__passes") + chosen)
     drawn_docs = docs.withColumn("mix", drawn)  # patterns are bounded by max_patterns, so their state is broadcast
     joined = drawn_docs.join(F.broadcast(state), F.col("mix.pattern") == F.col("__pattern"))
     out = F.struct("mix.size", "mix.members", "mix.pattern", taken.alias("taken")).alias("mix")
-    return joined.select(*(c for c in docs.columns if c != "mix"), out), plan
+    columns = docs.columns if "mix" in docs.columns else [*docs.columns, "mix"]
+    return joined.select(*(out if c == "mix" else f"`{c}`" for c in columns)), plan
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
