@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text at block-level tags. A linear classifier over a block's
 ancestors, attributes, length, punctuation and share of links gives each block a cost for
-being called content or boilerplate; these are its capacities from source and to sink.
+being called content or boilerplate. Squashed to log-odds of CERTAIN at most, these are its
+capacities from source and to sink, so that they and the smoothness edges are of one scale.
 Neighbouring blocks, and blocks of the same parent, are joined by edges that make unequal
 labels cost the more the closer they are in the document tree. The minimum cut, found by
 maximum flow, separates content from boilerplate.
@@ -10,8 +11,9 @@ maximum flow, separates content from boilerplate.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -37,7 +39,7 @@ CLOSED_BY_ITSELF = {
 }
 SCOPES = frozenset("article aside body div footer form header html main nav section table ul ol dl td th blockquote".split())
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.DOTALL)
+TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$))", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@.-][^\s=/>]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAMES = re.compile(r"[a-z0-9]+")
 UNLIKELY = re.compile(
@@ -51,12 +53,34 @@ LIKELY = re.compile(r"^(?:article|body|content|entry|main|maincontent|post|story
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
+CERTAIN = 4.0  # log-odds that a block's own signs reach at most
+STRENGTH = 1.5  # log-odds that two blocks next to each other in one element share
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # element numbers from the root
+    parent: int  # number of the element it stands in
+    depth: int
+    shared: int  # how many open elements it has in common with the block before it
+    score: float = 0.0  # positive: content
+
+    @property
+    def cost(self) -> float:
+        return CERTAIN * math.tanh(self.score / CERTAIN)
+
+
+@dataclass
+class Open:
+    """An open element: its number, the score of what stands in it, and what holds for text there."""
+
     tag: str
-    cost: float = 0.0  # positive: content
+    number: int
+    score: float
+    dropped: bool
+    link: bool
+    block: str  # the nearest block element
+    near: int  # the nearest place of the stack, its own included, that may end by itself or bounds a search
 
 
 def _attribute_score(tag: str, raw: str) -> tuple[float, bool]:
@@ -96,39 +120,47 @@ def _tag_score(tag: str, inside: float) -> float:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, with what the classifier makes of each."""
+    """Blocks of text in page order, with what the classifier makes of each; in time linear in the page."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float, bool, bool]] = [("#root", 0, 0.0, False, False)]  # tag, number, score, dropped, link
+    stack = [Open("#root", 0, 0.0, False, False, "body", 0)]
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked, count, at, has_main = 0, 0, 0, False
+    linked, count, at, has_main, low = 0, 0, 0, False, 1
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                tag = next((t for t, *_ in reversed(stack) if t in BLOCK), "body")
-                block = Block(text, tuple(x[1] for x in stack), tag)
+                top = stack[-1]
+                block = Block(text, top.number, len(stack), low)
+                low = len(stack)
                 share = min(1.0, linked / len(text))
                 marks = sum(text.count(c) for c in ".,;:!?")
-                block.cost = (
-                    stack[-1][2]
+                block.score = (
+                    top.score
                     + min(2.0, len(text) / 80)
                     + min(1.0, marks / 3)
                     - 5 * share
-                    + (1 if tag == "p" or tag == "blockquote" or tag == "pre" else 0.5 if tag in ("h1", "h2", "h3") else -1 if tag == "li" else 0)
+                    + (1 if top.block in ("p", "blockquote", "pre") else 0.5 if top.block in ("h1", "h2", "h3") else -1 if top.block == "li" else 0)
                     - 1.5
                 )
                 found.append(block)
         linked = 0
 
+    def close(k: int) -> None:
+        nonlocal low
+        open_tags.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+        low = min(low, len(stack))
+
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not stack[-1][3]:
+        if text and not stack[-1].dropped:
             parts.append(text)
-            if stack[-1][4]:
+            if stack[-1].link:
                 linked += len(text.strip())
         if not m:
             break
@@ -139,65 +171,59 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK or tag in DROPPED:
             flush()
         if m[1]:
-            if tag == "p" or tag in SCOPES or any(t == tag for t, *_ in stack):
+            if open_tags[tag] > 0:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                    if stack[k].tag == tag:
+                        close(k)
                         break
-                    if stack[k][0] in SCOPES and tag not in SCOPES and tag not in BLOCK:
+                    if stack[k].tag in SCOPES and tag not in SCOPES and tag not in BLOCK:
                         break
             continue
-        closes = CLOSED_BY_ITSELF
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = stack[k][0]
-            if open_tag in closes and tag in closes[open_tag]:
+        k = stack[-1].near
+        while k > 0:
+            open_tag = stack[k].tag
+            if tag in CLOSED_BY_ITSELF.get(open_tag, ()):
                 if tag != "br":
-                    del stack[k:]
+                    close(k)
                 break
             if open_tag in SCOPES:
                 break
+            k = stack[k - 1].near
         if tag in VOID:
             continue
         count += 1
-        _, _, inside, dropped, link = stack[-1]
+        top = stack[-1]
         score, hidden = _attribute_score(tag, m[3])
-        own = _tag_score(tag, inside)
+        own = _tag_score(tag, top.score)
         has_main |= own > 0
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        gone = dropped or hidden or tag in DROPPED
+        gone = top.dropped or hidden or tag in DROPPED
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, count, inside + own + score, gone, link or tag == "a"))
+        near = len(stack) if tag in CLOSED_BY_ITSELF or tag in SCOPES else top.near
+        stack.append(Open(tag, count, top.score + own + score, gone, top.link or tag == "a", tag if tag in BLOCK else top.block, near))
+        open_tags[tag] += 1
     flush()
     if has_main:  # where the page names its main part, what stands outside it is less likely
         for b in found:
-            b.cost -= 1.5
+            b.score -= 1.5
     return found
 
 
-def _closeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """1 for the same parent, less the more elements lie between."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return 1 / (1 + max(len(a), len(b)) - same)
-
-
-def edges(found: list[Block], strength: float = 0.8) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next, and with the next of its own parent."""
+def edges(found: list[Block], strength: float = STRENGTH) -> list[tuple[int, int, float]]:
+    """Smoothness edges: each block with the next, the weaker the more elements lie between, and with the next of its own parent."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, strength * (0.25 + 0.75 * _closeness(found[i - 1].path, b.path))))
-        before = last.get(b.path)
+            between = max(1, found[i - 1].depth - b.shared, b.depth - b.shared)  # 1: siblings
+            out.append((i - 1, i, strength * (0.1 + 0.9 / between)))
+        before = last.get(b.parent)
         if before is not None and before < i - 1:
             out.append((before, i, strength / 2))
-        last[b.path] = i
+        last[b.parent] = i
     return out
 
 
@@ -267,7 +293,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, columns: list[Column] | None = None, html_col: str = "html") -> DataFrame:
-    """columns of pages (default: all but html_col), text and n_chars (its code points) for every row."""
+    """columns of pages (default: all but html_col), text and n_chars (its code points) for every row.
+
+    Null html counts as empty and gives an empty text; equal rows give equal texts; an empty
+    table gives no rows. Columns named text or n_chars are replaced. Long pages are read whole,
+    in time linear in their length, but for the flow among blocks that are in doubt.
+    """
     columns = columns or [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars")]
     picked = pages.select(*columns, F.col(html_col).alias("__html"))
     at = len(picked.columns) - 1
