@@ -11,8 +11,6 @@ and packs what is left by best fit, largest first, into the room that is left an
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -91,13 +89,14 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
 def _encoder(content: str) -> WordEncoder:
     """One encoder for each worker process, which outlives its tasks."""
-    held = sys.modules.setdefault("_touchline_encoders", types.ModuleType("_touchline_encoders"))
-    key = zlib.crc32(content.encode())
-    if key not in held.__dict__.setdefault("by_key", {}):
-        held.by_key[key] = WordEncoder(content)
-    return held.by_key[key]
+    if content not in _ENCODERS:
+        _ENCODERS[content] = WordEncoder(content)
+    return _ENCODERS[content]
 
 
 def pieces(

@@ -9,6 +9,9 @@ taken per word, as a mean over the text, as the largest mean over a window, and
 root of its length; a logistic function fitted on rows that were not counted turns these
 into a score, both classes weighing the same.
 
+A document's mean alone ranks few toxic documents right where single words make them toxic:
+the README gives the figures, and why the score looks at the words of the largest ratio too.
+
 The models are fitted on a bounded sample of labelled rows, max_docs of each class.
 """
 
@@ -246,9 +249,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[Column] | None = None, text_col: str = "text") -> DataFrame:
-    """columns of docs (default: all) and the score of every whole text; null or wordless texts have all features 0."""
+    """columns of docs (default: all) and the score of every whole text.
+
+    Null or wordless texts have all features 0. A column named score is replaced. Equal rows
+    get equal scores, an empty table gives no rows, and the arrays of a long text are as long as it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(*(columns or [F.col(f"`{c}`") for c in docs.columns])).columns
     picked = docs.select(*(columns or [F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).alias("__text"))
+    picked = picked.select(*(f"`{c}`" for c in own if c != "score"), "__text")
     at = len(picked.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
