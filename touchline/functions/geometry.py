@@ -74,3 +74,18 @@ def between(a: Column, b: Column, share: Column) -> Column:
 def frame_at(seconds: Column, fps: float) -> Column:
     """The frame shown at a time, rounded down."""
     return F.floor(seconds * fps).cast("long")
+
+
+def large_enough(w: Column, h: Column, least: float = 8.0) -> Column:
+    """Whether a box has the least width and height in pixels."""
+    return (w >= least) & (h >= least)
+
+
+def pitch_pixel(value: Column, length: float, pixels: int, margin: int) -> Column:
+    """A pitch coordinate on a drawing of so many pixels within a margin, truncated."""
+    return F.lit(margin) + (value / F.lit(length) * pixels).cast("int")
+
+
+def overlay_size(w: Column, h: Column, most: int = 720) -> tuple[Column, Column]:
+    """Width and height, scaled to the largest height."""
+    return F.when(h > most, (w * most / h).cast("int")).otherwise(w), F.least(h, F.lit(most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a stored file may be called.
 VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 
 
@@ -26,10 +27,16 @@ def hex_to_colour(code: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    """Without folders, odd characters as one underscore, no leading dash or dot, 200 characters at most."""
+    """Without folders, odd characters as one underscore, no leading dash or dot; video.mp4 if nothing is left.
+
+    Of more than 200 characters, 180 of the stem and the extension stay, or the first 200 where there is none.
+    """
     last = F.element_at(F.split(F.regexp_replace(name, r"\\", "/"), "/"), -1)
     plain = F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._\- ()]+", "_"), r"^[-.]+", "")
-    return F.substring(plain, 1, 200)
+    end = F.regexp_extract(plain, r"\.[^.]*$", 0)
+    stem = F.left(plain, F.char_length(plain) - F.char_length(end))
+    cut = F.when(end == "", F.left(plain, F.lit(200))).otherwise(F.concat(F.left(stem, F.lit(180)), end))
+    return F.when(plain == "", "video.mp4").when(F.char_length(plain) > 200, cut).otherwise(plain)
 
 
 def allowed_extension(name: Column) -> Column:
@@ -46,3 +53,8 @@ def name_from_url(url: Column, key: Column) -> Column:
 def storage_key(url: Column, host: str) -> Column:
     """Path of a URL of that host; null for other hosts."""
     return F.when(F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)) == host, F.regexp_extract(url, r"^https?://[^/]+/([^?#]+)", 1))
+
+
+def time_left(elapsed: Column, done: Column) -> Column:
+    """What is left to wait from the time elapsed and the share done."""
+    return elapsed / done * (1 - done)

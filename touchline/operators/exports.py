@@ -34,3 +34,19 @@ def heatmap(matched: DataFrame, keys: list[str], fps: float, order: str = "frame
     kept = sampled(matched, stride_of(fps, 1.0), order=order).withColumn("chunk", F.floor(F.col(order) / F.lit(500 * fps)))
     rows = kept.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct(order, "x", "y"))).alias("rows"))
     return rows.select(*keys, "chunk", F.transform("rows", lambda r: F.array(r["x"], r["y"])).alias("positions"))
+
+
+def minimap_full(players: DataFrame, ball: DataFrame, control: DataFrame, keys: list[str], fps: float, order: str = "frame") -> DataFrame:
+    """minimap() with the ball (x, y) and the team in control of the same frames; null where there is none."""
+    rows = minimap(players, keys, fps, order=order)
+    held = ball.select(*keys, order, F.struct("x", "y").alias("ball")).join(control.select(*keys, order, F.col("team").alias("control")), [*keys, order], "full")
+    return rows.join(held, [*keys, order], "left")
+
+
+def overlay_full(rows: DataFrame, keys: list[str], is_target: Column, order: str = "frame") -> DataFrame:
+    """target [x, y] and players [id, x, y] of every frame, to one decimal."""
+    x, y = F.round("x", 1), F.round("y", 1)
+    return rows.groupBy(*keys, order).agg(
+        F.first(F.when(is_target, F.array(x, y)), True).alias("target"),
+        F.sort_array(F.collect_list(F.when(~is_target, F.array(F.col("track_id").cast("double"), x, y)))).alias("players"),
+    )

@@ -88,3 +88,27 @@ def missing_parts(parts: DataFrame, uploads: DataFrame, key: str) -> DataFrame:
     """Part numbers 0 to n - 1 of each upload that have not arrived."""
     wanted = uploads.select(key, F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
     return wanted.join(parts.select(key, "part"), [key, "part"], "left_anti")
+
+
+def busy(tasks: DataFrame, keys: list[str], states: tuple[str, ...]) -> DataFrame:
+    """Keys of the tasks in one of the states."""
+    return tasks.where(F.col("status").isin(*states)).select(*keys).distinct()
+
+
+def truthy(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose columns are neither null nor empty."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    return df
+
+
+def objects_of_sessions(objects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Stored objects (name) with the session whose id is the first part of the name."""
+    keyed = objects.withColumn("__id", F.split_part("name", F.lit("/"), F.lit(1)))
+    return keyed.join(sessions, F.col("__id") == F.col("id").cast("string")).drop("__id")
+
+
+def cleanup(sessions: DataFrame, tasks: DataFrame, now: Column, days: int) -> tuple[DataFrame, DataFrame]:
+    """Sessions that expire, and the tasks that are orphans once they are gone."""
+    gone = expired(sessions, "created_at", now, days)
+    return gone, tasks.join(gone.select(F.col("id").alias("session_id")), "session_id", "left_semi")

@@ -54,3 +54,8 @@ def point_grid(spark, n: int) -> DataFrame:
     """n by n points at the centres of equal cells of the unit square."""
     side = spark.range(n).select(((F.col("id") + 0.5) / n).alias("v"))
     return side.select(F.col("v").alias("x"), F.explode(F.array(*(F.lit((i + 0.5) / n) for i in range(n)))).alias("y"))
+
+
+def decode_runs(counts: Column) -> Column:
+    """A run-length encoded mask as text of 0 and 1; runs start with 0."""
+    return F.array_join(F.transform(counts, lambda n, i: F.repeat(F.when(i % 2 == 1, "1").otherwise("0"), n.cast("int"))), "")

@@ -68,10 +68,7 @@ def player_summary(samples: DataFrame, keys: list[str], fps: float) -> DataFrame
 
 def sprints(samples: DataFrame, keys: list[str], fps: float, speed: float = SPRINT_SPEED, seconds: float = SPRINT_SECONDS) -> DataFrame:
     """Runs of frames at sprint speed of the minimum length: start, end, length, duration (end included), peak."""
-    found = runs(samples, keys, F.col("speed") >= speed, least=max(1, int(seconds * fps)))
-    own = samples.select(*keys, "frame", "speed")
-    met = found.join(own, keys).where("frame between start and end")
-    peaks = met.groupBy(*keys, "start", "end", "length").agg(F.max("speed").alias("peak_speed"))
+    peaks = runs(samples, keys, F.col("speed") >= speed, least=max(1, int(seconds * fps)), more=(F.max("speed").alias("peak_speed"),))
     return peaks.withColumn("duration_s", (F.col("end") - F.col("start")) / F.lit(fps))
 
 
@@ -141,9 +138,9 @@ def defensive_line(players: DataFrame, keys: list[str], deepest: int = 4, highes
     return ranked.where(F.col("__rank") <= deepest).groupBy(*keys).agg(F.avg("x").alias("line_x"), F.count(F.lit(1)).alias("deepest"))
 
 
-def penetrations(own: DataFrame, line: DataFrame, keys: list[str], order: str = "frame", least: int = 3) -> DataFrame:
-    """Each run of at least three frames in which x is beyond the line, at its third frame."""
-    joined = own.join(line, [*keys, order], "left")
+def penetrations(own: DataFrame, line: DataFrame, keys: list[str], order: str = "frame", least: int = 3, line_keys: list[str] | None = None) -> DataFrame:
+    """Each run of at least three frames in which x is beyond the line, at its third frame. line_keys: keys that the line has (default: all)."""
+    joined = own.join(line, [*(line_keys or keys), order], "left")
     found = runs(joined, keys, F.col("x") > F.col("line_x"), order, least)
     return found.select(*keys, (F.col("start") + least - 1).alias(order), "length")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.series import ordered, runs, zero_padded_mean
@@ -66,3 +66,14 @@ def chunks(totals: DataFrame, keys: list[str], size: int = 500) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("total_frames") - 1, F.lit(0)), F.lit(size))).alias("start_frame")
     made = totals.select(*keys, "total_frames", starts)
     return made.select(*keys, (F.col("start_frame") / size).cast("int").alias("chunk"), "start_frame", F.least(F.col("start_frame") + size, "total_frames").alias("end_frame"))
+
+
+def to_stitched(frames: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames of the whole video with their place (out_frame) in the video of all periods; others are left out."""
+    met = frames.join(period_offsets(periods, keys), keys).where("frame >= start_frame and frame < end_frame")
+    return met.withColumn("out_frame", F.col("out_start") + F.col("frame") - F.col("start_frame"))
+
+
+def long_enough(least: Column) -> Column:
+    """Whether a period has the least number of frames."""
+    return F.col("end_frame") - F.col("start_frame") >= least

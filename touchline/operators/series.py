@@ -75,8 +75,8 @@ def running_total(df: DataFrame, keys: list[str], column: str, out: str, order:
     return df.withColumn(out, F.sum(column).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def runs(df: DataFrame, keys: list[str], flag: Column, order: str = "frame", least: int = 1, steps: bool = True) -> DataFrame:
-    """keys, start, end (last row of the run), length, of runs in which flag holds.
+def runs(df: DataFrame, keys: list[str], flag: Column, order: str = "frame", least: int = 1, steps: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
+    """keys, start, end (last row of the run), length, and aggregates more, of runs in which flag holds.
 
     steps: rows that do not follow each other by one end a run.
     """
@@ -84,7 +84,7 @@ def runs(df: DataFrame, keys: list[str], flag: Column, order: str = "frame", lea
     kept = df.withColumn("__n", F.row_number().over(where)).where(flag)
     mark = F.col(order) if steps else F.col("__n")
     kept = kept.withColumn("__run", mark - F.row_number().over(where))
-    found = kept.groupBy(*keys, "__run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("length"))
+    found = kept.groupBy(*keys, "__run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("length"), *more)
     return found.where(F.col("length") >= least).drop("__run")
 
 

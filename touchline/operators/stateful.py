@@ -11,9 +11,13 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Radii of possession, and below the noise weights of the published motion model.
 CONTROL_METRES, CONTROL_HEIGHTS, CONTESTED_PIXELS, FLY_RADIUS = 2.5, 3.0, 80.0, 300.0
 
+MOST_BOXES = 1 << 16  # boxes filtered at once
+
 
 def possession_of(frames: list[tuple], scale: float) -> list[tuple[int, str, float, bool]]:
     """(player, state, confidence, has_ball) of each frame.
@@ -56,7 +60,7 @@ def possession_of(frames: list[tuple], scale: float) -> list[tuple[int, str, flo
                         metres = float(np.hypot(p[4] - ball[2], p[5] - ball[3]))
                         score = 100 / (metres + 0.01) if metres <= CONTROL_METRES else 0.0
                     else:
-                        score = 100 / (gap + 1) if gap <= CONTROL_HEIGHTS * p[3] else 0.0
+                        score = 100 / (gap + 1) if gap <= CONTROL_HEIGHTS * max(p[3], 1.0) else 0.0
                     if score > best:
                         best, owner = score, p[0]
                 if owner == -1:
@@ -105,18 +109,30 @@ def possession(tracks: DataFrame, keys: list[str], scale: float = 1.0) -> DataFr
 
 
 def natural_fill(at: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Cubic spline through known points with not-a-knot ends; constant beyond them, linear for under four."""
+    """Cubic spline through known points with not-a-knot ends; constant beyond them, linear for under four.
+
+    Second derivatives come from one sweep over a tridiagonal system: the not-a-knot ends
+    give the outer two from the next ones, so only the inner ones are unknown.
+    """
     if len(known) < 4:
         return np.interp(at, known, values)
     h = np.diff(known)
     n = len(known)
-    a, rhs = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    second = np.linalg.solve(a, rhs)
+    slope = np.diff(values) / h
+    low, mid, high, rhs = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    high[0] -= h[0] * h[0] / h[1]
+    mid[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    for i in range(1, n - 2):
+        share = low[i] / mid[i - 1]
+        mid[i] -= share * high[i - 1]
+        rhs[i] -= share * rhs[i - 1]
+    second = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        second[i + 1] = (rhs[i] - (high[i] * second[i + 2] if i < n - 3 else 0.0)) / mid[i]
+    second[0] = ((h[0] + h[1]) * second[1] - h[0] * second[2]) / h[1]
+    second[-1] = ((h[-2] + h[-1]) * second[-2] - h[-1] * second[-3]) / h[-2]
     x = np.clip(at, known[0], known[-1])
     k = np.clip(np.searchsorted(known, x, side="right") - 1, 0, n - 2)
     left, right, width = x - known[k], known[k + 1] - x, h[k]
@@ -128,7 +144,10 @@ def natural_fill(at: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.nd
 
 
 def spline_fill(ball: DataFrame, keys: list[str], columns: list[str], longest: int = 30) -> DataFrame:
-    """Every frame of each series: gaps of at most ``longest`` frames by the spline, longer ones linearly, ends by the nearest."""
+    """Every frame of each series: gaps of at most ``longest`` frames by the spline, longer ones linearly, ends by the nearest.
+
+    A short gap at an end takes the spline too, held at its last known value, which is the nearest as well.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("frame")
@@ -153,44 +172,88 @@ def spline_fill(ball: DataFrame, keys: list[str], columns: list[str], longest: i
 
 
 def kalman_path(boxes: np.ndarray, position: float = 1 / 20, velocity: float = 1 / 160) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered (cx, cy, aspect, height) of measured boxes, NaN rows missing, and squared Mahalanobis distances.
+    """kalman_paths() of one series."""
+    path, gate = kalman_paths(boxes[None], position, velocity)
+    return path[0], gate[0]
+
 
-    Constant velocity with noise in proportion to the height, as in SORT-type trackers.
+def kalman_paths(boxes: np.ndarray, position: float = 1 / 20, velocity: float = 1 / 160) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered (cx, cy, aspect, height) of measured boxes (series, frames, 4), and squared Mahalanobis distances.
+
+    Missing boxes are NaN. Constant velocity with noise in proportion to the height, as in
+    SORT-type trackers. All series take a step at once.
     """
+    n, frames, _ = boxes.shape
     move = np.eye(8)
     move[:4, 4:] = np.eye(4)
-    out, gate = np.full((len(boxes), 4), np.nan), np.full(len(boxes), np.nan)
-    mean = cov = None
-    for i, z in enumerate(boxes):
-        if mean is not None:
-            h = mean[3]
-            noise = np.square([position * h, position * h, 1e-2, position * h, velocity * h, velocity * h, 1e-5, velocity * h])
-            mean, cov = move @ mean, move @ cov @ move.T + np.diag(noise)
-        if not np.isnan(z).any():
-            if mean is None:
-                h = z[3]
-                mean = np.concatenate([z, np.zeros(4)])
-                start = [2 * position * h, 2 * position * h, 1e-2, 2 * position * h, 10 * velocity * h, 10 * velocity * h, 1e-5, 10 * velocity * h]
-                cov = np.diag(np.square(start))
-                gate[i] = 0.0
-            else:
-                s = cov[:4, :4] + np.diag(np.square([position * mean[3], position * mean[3], 1e-1, position * mean[3]]))
-                gain = np.linalg.solve(s, cov[:4]).T
-                off = z - mean[:4]
-                gate[i] = float(off @ np.linalg.solve(s, off))
-                mean, cov = mean + gain @ off, cov - gain @ s @ gain.T
-        if mean is not None:
-            out[i] = mean[:4]
+    out, gate = np.full((n, frames, 4), np.nan), np.full((n, frames), np.nan)
+    mean, cov, live = np.zeros((n, 8)), np.zeros((n, 8, 8)), np.zeros(n, bool)
+    diagonal = np.arange(8)
+
+    def spread(h: np.ndarray, at: float, of: float, aspect: float, turn: float) -> np.ndarray:
+        one = np.ones_like(h)
+        return np.square(np.stack([at * h, at * h, aspect * one, at * h, of * h, of * h, turn * one, of * h], axis=1))
+
+    for i in range(frames):
+        seen = ~np.isnan(boxes[:, i]).any(axis=1)
+        own = np.nonzero(live)[0]
+        if len(own):
+            noise = spread(mean[own, 3], position, velocity, 1e-2, 1e-5)
+            mean[own] = mean[own] @ move.T
+            moved = move @ cov[own] @ move.T
+            moved[:, diagonal, diagonal] += noise
+            cov[own] = moved
+        own = np.nonzero(live & seen)[0]
+        if len(own):
+            z, m, p = boxes[own, i], mean[own], cov[own]
+            s = p[:, :4, :4].copy()
+            s[:, diagonal[:4], diagonal[:4]] += spread(m[:, 3], position, velocity, 1e-1, 1e-5)[:, :4]
+            gain = np.linalg.solve(s, p[:, :4]).transpose(0, 2, 1)
+            off = z - m[:, :4]
+            gate[own, i] = (off * np.linalg.solve(s, off[:, :, None])[:, :, 0]).sum(axis=1)
+            mean[own] = m + (gain @ off[:, :, None])[:, :, 0]
+            cov[own] = p - gain @ s @ gain.transpose(0, 2, 1)
+        new = np.nonzero(~live & seen)[0]
+        if len(new):
+            z = boxes[new, i]
+            mean[new, :4], mean[new, 4:] = z, 0.0
+            cov[new] = 0.0
+            first = spread(z[:, 3], 2 * position, 10 * velocity, 1e-2, 1e-5)
+            cov[new[:, None], diagonal, diagonal] = first
+            gate[new, i], live[new] = 0.0, True
+        out[live, i] = mean[live, :4]
     return out, gate
 
 
-def kalman_track(measures: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, frame, cx, cy, aspect, h filtered, gate, for a dense series of measures with nulls where there is none."""
+def kalman_track(measures: DataFrame, keys: list[str], groups: int = 64) -> DataFrame:
+    """keys, frame, cx, cy, aspect, h filtered, gate, for dense series of measures with nulls where there is none.
+
+    Series are dealt by hash into groups, and those of a group of like length filtered together,
+    a bounded number of boxes at once.
+    """
     columns = ["cx", "cy", "aspect", "h"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame").reset_index(drop=True)
-        path, gate = kalman_path(frame[columns].to_numpy(float))
+        frame = frame.sort_values([*keys, "frame"]).reset_index(drop=True)
+        number = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        starts = np.nonzero(np.diff(number, prepend=-1))[0]
+        lengths = np.diff(np.append(starts, len(frame)))
+        values = frame[columns].to_numpy(float)
+        path, gate = np.full((len(frame), 4), np.nan), np.full(len(frame), np.nan)
+        order, low = np.argsort(lengths, kind="stable"), 0
+        while low < len(order):
+            high = low + 1
+            while high < len(order) and lengths[order[high]] * (high + 1 - low) <= MOST_BOXES:
+                high += 1
+            own = order[low:high]
+            stack = np.full((len(own), lengths[own[-1]], 4), np.nan)
+            for k, j in enumerate(own):
+                stack[k, : lengths[j]] = values[starts[j] : starts[j] + lengths[j]]
+            found, gates = kalman_paths(stack)
+            for k, j in enumerate(own):
+                rows = slice(starts[j], starts[j] + lengths[j])
+                path[rows], gate[rows] = found[k, : lengths[j]], gates[k, : lengths[j]]
+            low = high
         out = frame[[*keys, "frame"]].copy()
         for i, c in enumerate(columns):
             out[c] = path[:, i]
@@ -198,7 +261,9 @@ def kalman_track(measures: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     kinds = [f"{k} {measures.schema[k].dataType.simpleString()}" for k in keys]
-    return measures.groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "frame int", *(f"{c} double" for c in columns), "gate double"]))
+    dealt = measures.withColumn("__deal", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    fields = ", ".join([*kinds, "frame int", *(f"{c} double" for c in columns), "gate double"])
+    return dealt.groupBy("__deal").applyInPandas(lambda frame: run(frame.drop(columns="__deal")), fields)
 
 
 def greedy_tracks(detections: DataFrame, keys: list[str], least_iou: float = 0.3, patience: int = 30) -> DataFrame:
@@ -251,13 +316,12 @@ def fit_homography(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -
     return (h / h[2, 2]).ravel()
 
 
-def homographies(points: DataFrame, keys: list[str], least: int = 6, error: float = 500.0, inliers: float = 0.5) -> DataFrame:
-    """h0 to h8 for each frame with enough spread-out keypoints (x, y to u, v in centimetres), by seeded consensus."""
+def homographies(points: DataFrame, keys: list[str], least: int = 6, error: float = 500.0, inliers: float = 0.5, order: str = "frame") -> DataFrame:
+    """keys, order, h0 to h8 for each frame with enough spread-out keypoints (x, y to u, v in centimetres), by seeded consensus."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, (x, y, u, v) = frame[keys].head(1).copy(), (frame[c].to_numpy(float) for c in ("x", "y", "u", "v"))
+    def one(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray | None:
         if len(x) < least or np.ptp(u) <= 3000 or np.ptp(v) <= 1500:
-            return out.head(0).assign(**{f"h{i}": 0.0 for i in range(9)})
+            return None
         rng, best = np.random.default_rng(42), np.zeros(len(x), bool)
         for _ in range(50):
             four = rng.choice(len(x), 4, replace=False)
@@ -266,10 +330,22 @@ def homographies(points: DataFrame, keys: list[str], least: int = 6, error: floa
             off = np.hypot(mapped[0] / mapped[2] - u, mapped[1] / mapped[2] - v)
             if (off < error).sum() > best.sum():
                 best = off < error
+            if best.all():  # no other four can agree with more
+                break
         if best.mean() < inliers or best.sum() < 4:
-            return out.head(0).assign(**{f"h{i}": 0.0 for i in range(9)})
-        h = fit_homography(x[best], y[best], u[best], v[best])
-        return out.assign(**{f"h{i}": h[i] for i in range(9)})
+            return None
+        return fit_homography(x[best], y[best], u[best], v[best])
 
-    kinds = [f"{k} {points.schema[k].dataType.simpleString()}" for k in keys]
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
+        numbers = frame[order].to_numpy()
+        starts = np.append(np.nonzero(np.diff(numbers, prepend=numbers[0] - 1))[0], len(frame))
+        columns = [frame[c].to_numpy(float) for c in ("x", "y", "u", "v")]
+        found = [(low, one(*(c[low:high] for c in columns))) for low, high in zip(starts[:-1], starts[1:], strict=True)]
+        found = [(low, h) for low, h in found if h is not None]
+        out = frame.loc[[low for low, _ in found], [*keys, order]].reset_index(drop=True)
+        held = np.array([h for _, h in found]).reshape(-1, 9)
+        return out.assign(**{f"h{i}": held[:, i] for i in range(9)})
+
+    kinds = [f"{k} {points.schema[k].dataType.simpleString()}" for k in (*keys, order)]
     return points.groupBy(*keys).applyInPandas(run, ", ".join([*kinds, *(f"h{i} double" for i in range(9))]))

@@ -154,19 +154,21 @@ def clock_and_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , named as (select page_id, url, regexp_extract(url, '^(?:[a-z]+://[^/]*)?([^?#]*)', 1) as path from pages),
-parts as (select page_id, url, list_extract(string_split(path, '/'), -1) as last from named)
+parts as (select page_id, url, list_extract(string_split(path, '/'), -1) as last from named),
+plain as (select *, regexp_replace(regexp_replace(last || case when page_id % 5 = 0 then repeat('x', 250) || '.mp4' else '' end, '[^A-Za-z0-9._\\- ()]+', '_', 'g'), '^[-.]+', '') as p from parts)
 select page_id, case when last <> '' then last else substr(cast(page_id as varchar) || '-abcdefgh', 1, 8) end as name,
        lower(regexp_extract(last, '(\\.[^./]+)$', 1)) in ('.mp4', '.mov', '.avi', '.mkv', '.webm', '.m4v') as allowed,
-       substr(regexp_replace(regexp_replace(last, '[^A-Za-z0-9._\\- ()]+', '_', 'g'), '^[-.]+', ''), 1, 200) as safe,
+       case when p = '' then 'video.mp4' when length(p) <= 200 then p when not contains(p, '.') then substr(p, 1, 200)
+            else substr(regexp_extract(p, '^(.*)\\.', 1), 1, 180) || regexp_extract(p, '\\.[^.]*$') end as safe,
        case when lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) = 'example.com' then regexp_extract(url, '^https?://[^/]+/([^?#]+)', 1) end as storage_key
-from parts""")
+from plain""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     url, last = F.col("url"), F.element_at(F.split(F.regexp_extract("url", r"^(?:[a-z]+://[^/]*)?([^?#]*)", 1), "/"), -1)
     return table(spark, sf_dir, "pages").select(
         "page_id",
         text.name_from_url(url, F.concat(F.col("page_id").cast("string"), F.lit("-abcdefgh"))).alias("name"),
         text.allowed_extension(last).alias("allowed"),
-        text.safe_filename(last).alias("safe"),
+        text.safe_filename(F.concat(last, F.when(F.col("page_id") % 5 == 0, "x" * 250 + ".mp4").otherwise(""))).alias("safe"),
         text.storage_key(url, "example.com").alias("storage_key"),
     )
 

@@ -281,8 +281,7 @@ select session_id, track_id, min(frame) + 2 as frame, count(*) as length from be
 def penetrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pitch(spark, sf_dir).where("team = 1").select("session_id", "track_id", "frame", "x")
     line = _line(spark, sf_dir).select("session_id", "frame", (F.col("line_x") - 4000).alias("line_x"))
-    near = own.select("session_id", "track_id").distinct().join(line, "session_id")
-    return play.penetrations(own, near, ["session_id", "track_id"])
+    return play.penetrations(own, line, ["session_id", "track_id"], line_keys=SESSION)
 
 
 @query("select session_id, avg(x) filter (team = 1) < avg(x) filter (team = 2) as towards_right from pitch group by session_id")
@@ -541,7 +540,7 @@ def homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     depth = 1 + y / 100_000
     points = pitch(spark, sf_dir).select("session_id", "frame", x.alias("x"), y.alias("y"), ((x + 50) / depth).alias("u"), ((y - 20) / depth).alias("v"))
-    return stateful.homographies(points, ["session_id", "frame"])
+    return stateful.homographies(points, SESSION)
 
 
 @query()
