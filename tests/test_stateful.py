@@ -103,3 +103,78 @@ def test_possession_table(spark):
     found = stateful.possession(spark.createDataFrame(frame), ["session_id"]).orderBy("frame").collect()
     assert found[-1]["team"] == 1 and found[0]["team"] == 0
     assert found[-1]["confidence"] == pytest.approx(0.9)
+
+
+def test_stacked_filter_is_the_filter_of_each_series():
+    """Against the textbook equations, one series and one step at a time."""
+    rng = np.random.default_rng(5)
+    series_ = rng.normal([500, 300, 0.4, 100], [40, 40, 0.02, 4], (5, 25, 4))
+    series_[rng.random((5, 25)) < 0.3] = np.nan
+    series_[3, :4] = np.nan
+    paths, gates = stateful.kalman_paths(series_)
+    move = np.eye(8) + np.eye(8, k=4)
+    for boxes, path, gate in zip(series_, paths, gates, strict=True):
+        mean = cov = None
+        for i, z in enumerate(boxes):
+            if mean is not None:
+                h = mean[3]
+                noise = np.array([h / 20, h / 20, 1e-2, h / 20, h / 160, h / 160, 1e-5, h / 160]) ** 2
+                mean, cov = move @ mean, move @ cov @ move.T + np.diag(noise)
+            if not np.isnan(z).any() and mean is None:
+                h = z[3]
+                mean, cov = np.append(z, np.zeros(4)), np.diag(np.array([h / 10, h / 10, 1e-2, h / 10, h / 16, h / 16, 1e-5, h / 16]) ** 2)
+            elif not np.isnan(z).any():
+                s = cov[:4, :4] + np.diag(np.array([mean[3] / 20, mean[3] / 20, 1e-1, mean[3] / 20]) ** 2)
+                off = z - mean[:4]
+                assert abs(off @ np.linalg.inv(s) @ off - gate[i]) < 1e-6
+                gain = cov[:, :4] @ np.linalg.inv(s)
+                mean, cov = mean + gain @ off, cov - gain @ s @ gain.T
+            assert np.isnan(path[i]).all() if mean is None else np.allclose(path[i], mean[:4])
+
+
+def test_spline_sweep_matches_the_whole_system_and_is_linear():
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 9, 40):
+        known = np.cumsum(rng.integers(1, 9, n)).astype(float)
+        values = rng.normal(0, 50, n)
+        h, system, right = np.diff(known), np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            right[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
+        system[0, :3], system[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+        second = np.linalg.solve(system, right)
+        k = n // 2 - 1
+        middle = (known[k] + known[k + 1]) / 2
+        wanted = (values[k] + values[k + 1]) / 2 - h[k] ** 2 * (second[k] + second[k + 1]) / 16
+        assert abs(stateful.natural_fill(np.array([middle]), known, values)[0] - wanted) < 1e-6
+    known = np.arange(0, 300_000, 2, dtype=float)
+    assert np.isfinite(stateful.natural_fill(np.arange(300_000.0), known, np.sin(known / 50))).all()
+
+
+def test_kalman_groups_and_homographies_of_sessions(spark):
+    rows = [(s, f, *((10.0 * f + s, 5.0 * f, 0.5, 100.0) if f % 3 or not f else (None,) * 4)) for s in range(7) for f in range(5 + 3 * s)]
+    measures = spark.createDataFrame(rows, "session_id long, frame int, cx double, cy double, aspect double, h double")
+    found = {(r["session_id"], r["frame"]): r for r in stateful.kalman_track(measures, ["session_id"], groups=2).collect()}
+    for s in range(7):
+        boxes = np.array([r[2:] for r in rows if r[0] == s], float)
+        path, _ = stateful.kalman_path(boxes)
+        assert np.allclose([[found[s, f][c] for c in ("cx", "cy", "aspect", "h")] for f in range(len(boxes))], path)
+    rng = np.random.default_rng(0)
+    points = []
+    for f in range(4):
+        for x, y in rng.uniform(0, 1000, (10 if f else 3, 2)):
+            points.append((1, f, float(x), float(y), float(8 * x + 100), float(7 * y + 50)))
+    table = spark.createDataFrame(points, "session_id long, frame int, x double, y double, u double, v double")
+    fitted = {r["frame"]: r for r in stateful.homographies(table, ["session_id"]).collect()}
+    assert sorted(fitted) == [1, 2, 3] and all(abs(r["h0"] - 8) < 1e-6 and abs(r["h5"] - 50) < 1e-3 for r in fitted.values())
+
+
+def test_tracker_matches_a_plain_greedy_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, f, int(i), float(200 * i + 6 * f + rng.integers(0, 5)), 10.0, float(200 * i + 6 * f + 100), 110.0, float(rng.random())) for f in range(12) for i in range(4) if rng.random() < 0.9]
+    table = spark.createDataFrame(rows, "session_id long, frame int, own int, x1 double, y1 double, x2 double, y2 double, conf double")
+    found = stateful.greedy_tracks(table, ["session_id"]).collect()
+    names = {}
+    for r in found:  # boxes that never touch another's keep one number
+        names.setdefault(r["own"], set()).add(r["track_id"])
+    assert len(found) == len(rows) and all(len(n) == 1 for n in names.values()) and len({min(n) for n in names.values()}) == 4

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.geometry import iou
+
 
 def rle_area(counts: Column) -> Column:
     """Pixels of a mask whose runs alternate, background first."""
@@ -30,24 +31,21 @@ def mask_box(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.7) -> DataFrame:
-    """Greedy non-maximum suppression of boxes (box_id, x1, y1, x2, y2, score) within each group; a group is one frame."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "box_id"], ascending=[False, True])
-        kept = []
-        for row in frame.itertuples(index=False):
-            for other in kept:
-                width = min(row.x2, other.x2) - max(row.x1, other.x1)
-                height = min(row.y2, other.y2) - max(row.y1, other.y1)
-                both = max(0.0, width) * max(0.0, height)
-                whole = (row.x2 - row.x1) * (row.y2 - row.y1) + (other.x2 - other.x1) * (other.y2 - other.y1) - both
-                if whole > 0 and both / whole > threshold:
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=frame.columns)
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    """Greedy non-maximum suppression of boxes (box_id, x1, y1, x2, y2, score) within each group; a group is one frame.
+
+    The boxes of a frame are folded from the best to the worst; one that overlaps a kept one too much is left out.
+    """
+    order = [(-F.col("score")).alias("less"), "box_id", "x1", "y1", "x2", "y2", *(c for c in boxes.columns if c not in {*keys, "box_id", "x1", "y1", "x2", "y2"})]
+    held = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("boxes"))
+
+    def overlaps(one: Column, other: Column) -> Column:
+        return iou([one[c] for c in ("x1", "y1", "x2", "y2")], [other[c] for c in ("x1", "y1", "x2", "y2")]) > threshold
+
+    def step(kept: Column, box: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: overlaps(k, box)), kept).otherwise(F.concat(kept, F.array(box)))
+
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), step)
+    return held.select(*keys, F.inline(kept)).select(*boxes.columns)
 
 
 def point_grid(spark, n: int) -> DataFrame:

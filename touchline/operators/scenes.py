@@ -77,3 +77,12 @@ def to_stitched(frames: DataFrame, periods: DataFrame, keys: list[str]) -> DataF
 def long_enough(least: Column) -> Column:
     """Whether a period has the least number of frames."""
     return F.col("end_frame") - F.col("start_frame") >= least
+
+
+def detected_segments(gaps: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """type, start_frame, end_frame: halves and halftime of videos that have one, a single match of the others."""
+    found = totals.join(halftime(gaps, totals, keys), keys, "left")
+    parts = [("first_half", F.lit(0), F.col("start")), ("halftime", F.col("start"), F.col("end")), ("second_half", F.col("end"), F.col("total_frames"))]
+    halves = F.array(*(F.struct(F.lit(t).alias("type"), a.cast("int").alias("start_frame"), b.cast("int").alias("end_frame")) for t, a, b in parts))
+    whole = F.array(F.struct(F.lit("match").alias("type"), F.lit(0).alias("start_frame"), F.col("total_frames").cast("int").alias("end_frame")))
+    return found.select(*keys, F.inline(F.when(F.col("start").isNull(), whole).otherwise(halves))).where("end_frame > start_frame")

@@ -124,14 +124,13 @@ def held_objects(a: DataFrame, b: DataFrame, keys: list[str], share: float) -> D
     return joined.withColumns({c: F.col(c) + (F.coalesce(f"__{c}", c) - F.col(c)) * share for c in ("x", "y")}).drop("__x", "__y")
 
 
-def train_window(frames: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:
-    """A contiguous window of each video's frames, seeded by its keys; every other one is in reverse. order numbers it."""
+def train_window(frames: DataFrame, keys: list[str], size: int, draw: Column, back: Column) -> DataFrame:
+    """A contiguous window of each video's frames, from a drawn number, in reverse where back holds. order numbers it."""
     n = F.max("frame").over(Window.partitionBy(*keys)) + 1
-    draw = F.xxhash64(*keys, F.lit(seed))
-    drawn = frames.withColumns({"__from": F.pmod(draw, F.greatest(n - size + 1, F.lit(1))), "__back": F.pmod(F.shiftright(draw, 32), F.lit(2)) == 1})
+    drawn = frames.withColumn("__from", F.pmod(draw, F.greatest(n - size + 1, F.lit(1))))
     kept = drawn.where((F.col("frame") >= F.col("__from")) & (F.col("frame") < F.col("__from") + size))
     place = F.col("frame") - F.col("__from")
-    return kept.withColumn("order", F.when(F.col("__back"), size - 1 - place).otherwise(place)).drop("__from", "__back")
+    return kept.withColumn("order", F.when(back, size - 1 - place).otherwise(place)).drop("__from")
 
 
 def repeated(rows: DataFrame, factor: Column, draw: Column) -> DataFrame:

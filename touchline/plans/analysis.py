@@ -593,3 +593,28 @@ def overlay_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pitch(spark, sf_dir).withColumns({c: F.col(c) / 7.0 for c in ("x", "y")})
     found = exports.overlay_full(own, SESSION, F.col("track_id") == 3)
     return found.select(*FRAME, F.col("target")[0].alias("target_x"), F.size("players").cast("long").alias("n_players"), F.round(F.aggregate("players", F.lit(0.0), lambda a, p: a + p[2]), 1).alias("total_y"))
+
+
+@query("""
+, drawn as (select t.session_id, t.frame, t.session_id * 31 % greatest(total_frames - 8 + 1, 1) as low from tracks t join totals using (session_id))
+select session_id, frame, case when session_id % 2 = 1 then 7 - (frame - low) else frame - low end as "order" from drawn where frame >= low and frame < low + 8""")
+def train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of eight frames to train on, every other one in reverse."""
+    draw, back = F.col("session_id") * 31, F.col("session_id") % 2 == 1
+    return targets.train_window(tracks(spark, sf_dir).select(*FRAME), SESSION, 8, draw, back)
+
+
+@query("select id, user_id from sessions where id <= 40")
+def known_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that the store does not know are dropped without complaint."""
+    odd = sessions(spark, sf_dir).where("id <= 40").withColumn("unknown", F.lit(1)).select("id", "user_id", "unknown")
+    return jobs.only_columns(odd, ["id", "user_id", "status", "progress"])
+
+
+@query("select session_id, frame, '#' || lpad(to_hex(mx % 256), 2, '0') || '0A' || lpad(to_hex(my % 256), 2, '0') as code, mx % 256 as red, 10 as green, my % 256 as blue from tracks")
+def colours_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours to hexadecimal text and back."""
+    code = text.colour_to_hex(F.col("my") % 256, F.lit(10), F.col("mx") % 256)
+    back = text.hex_to_colour(F.col("code"))
+    coded = tracks(spark, sf_dir).select(*FRAME, code.alias("code"))
+    return coded.select(*FRAME, F.upper("code").alias("code"), back[2].alias("red"), back[1].alias("green"), back[0].alias("blue"))

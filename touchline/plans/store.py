@@ -227,3 +227,51 @@ def streamed_possession(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = rows.select(F.col("user_id").alias("session_id"), team.alias("team"))
     windows.control_stream(control, f"{folder}/checkpoint", f"{folder}/counts").awaitTermination()
     return windows.control_totals(spark, f"{folder}/counts")
+
+
+@query("""
+, held as (select *, lag(team) over (partition by session_id order by frame) as prior from tracks where team <> 0)
+select session_id, frames, coalesce(switches, 0) as switches from (select session_id, count(*) as frames from tracks group by all)
+left join (select session_id, count(*) filter (prior <> team) as switches from held group by all) using (session_id)""")
+def carried_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Switches of possession by a stream that gets the events in three chunks and carries its state across them."""
+    team = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(0)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("at"), team.alias("team"))
+    low, high = (F.lit(x) for x in rows.agg(F.percentile_approx(F.unix_micros("at.ts"), [0.3, 0.7])).first()[0])  # two numbers
+    micros = F.unix_micros("at.ts")
+    rows = rows.withColumn("at", F.format_string("%020d-%020d", micros, F.col("at.event_id")))
+    chunk = F.when(micros_of(F.col("at")) < low, 0).when(micros_of(F.col("at")) < high, 1).otherwise(2)
+    folder = f"{shared_folder(spark)}/touchline/carried-{uuid.uuid4().hex}"
+    windows.write_in_turn([rows.where(chunk == k) for k in range(3)], f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    windows.carried_switches(stream, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return windows.latest_batch(spark, f"{folder}/out", "session_id")
+
+
+def micros_of(at):
+    """The time in a sortable text of time and number."""
+    return F.split_part(at, F.lit("-"), F.lit(1)).cast("long")
+
+
+@query("select session_id, line, part, status from tasks where session_id = 33")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of one session's tasks, as they arrive in a folder."""
+    folder = f"{shared_folder(spark)}/touchline/changes-{uuid.uuid4().hex}"
+    rows = tasks(spark, sf_dir).select("session_id", "line", "part", "status")
+    windows.write_in_turn([rows.where("line % 2 = 0"), rows.where("line % 2 = 1")], f"{folder}/in")
+    feed = windows.read_changes(spark, f"{folder}/in/part=*", rows.schema, "session_id", 33, files_each=1)
+    windows.copy_stream(feed, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query("""
+, ranked as (select *, row_number() over (partition by session_id, task_type order by line desc) as place from tasks)
+select session_id, task_type, line, part, status from ranked where place = 1""")
+def snapshot_then_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest tasks from a snapshot of the first lines and a stream of those that came after."""
+    folder = f"{shared_folder(spark)}/touchline/tail-{uuid.uuid4().hex}"
+    rows = tasks(spark, sf_dir).select("session_id", "task_type", "line", "part", "status")
+    windows.write_in_turn([rows.where("line = 3"), rows.where("line > 3")], f"{folder}/in")
+    tail = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    windows.copy_stream(tail, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return windows.snapshot_then_tail(rows.where("line < 3"), spark.read.schema(rows.schema).parquet(f"{folder}/out"), ["session_id", "task_type"], [F.desc("line")])

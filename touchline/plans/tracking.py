@@ -526,7 +526,20 @@ def greedy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.greedy_tracks(rows, SESSION)
 
 
-@query()
+@query("""
+, boxes as (
+  select session_id, frame, track_id as box_id, x as x1, y as y1, x + 3000 as x2, y + 2000 as y2, speed as score,
+         row_number() over (partition by session_id, frame order by speed desc, track_id) as place from pitch)
+select session_id, frame, k.box_id, k.x1, k.y1, k.x2, k.y2, k.score from (
+  with recursive fold as (
+    select session_id, frame, 1 as place, [{'box_id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}] as kept from boxes where place = 1
+    union all
+    select f.session_id, f.frame, f.place + 1,
+           case when len(list_filter(f.kept, lambda k: greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))
+                  / (12000000.0 - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))) > 0.3)) > 0 then f.kept
+                else list_append(f.kept, {'box_id': b.box_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'score': b.score}) end
+    from fold f join boxes b on b.session_id = f.session_id and b.frame = f.frame and b.place = f.place + 1)
+  select session_id, frame, unnest(arg_max(kept, place)) as k from fold group by session_id, frame)""")
 def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pitch(spark, sf_dir).select(
         "session_id", "frame", F.col("track_id").alias("box_id"), F.col("x").alias("x1"), F.col("y").alias("y1"),
@@ -546,3 +559,17 @@ def homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def team_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return teams.assign_teams(table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 3).cast("array<double>").alias("color")), ["label"])
+
+
+@query(GAPS_SQL + """
+, middle as (
+  select session_id, start, "end" from (
+    select g.*, row_number() over (partition by session_id order by length desc, start) as place from gaps g join totals t using (session_id)
+    where start between total_frames * 0.25 and total_frames * 0.75 or "end" between total_frames * 0.25 and total_frames * 0.75) where place = 1)
+select session_id, 'first_half' as type, 0 as start_frame, start as end_frame from middle where start > 0
+union all select session_id, 'halftime', start, "end" from middle
+union all select session_id, 'second_half', "end", total_frames from middle join totals using (session_id) where total_frames > "end"
+union all select session_id, 'match', 0, total_frames from totals where session_id not in (select session_id from middle)""")
+def detected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final segments of a video: both halves and halftime where one is found, else one match."""
+    return scenes.detected_segments(_gaps(spark, sf_dir), totals(spark, sf_dir), SESSION)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, time: str, window: Column, keys: list[str], late: str | None = None) -> DataFrame:
@@ -15,7 +17,7 @@ def windowed_counts(events: DataFrame, time: str, window: Column, keys: list[str
     return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "cents")
 
 
-def read_changes(spark: SparkSession, folder: str, schema: str, key: str, value: str, files_each: int = 16) -> DataFrame:
+def read_changes(spark: SparkSession, folder: str, schema, key: str, value, files_each: int = 16) -> DataFrame:
     """Rows of one session from a folder of Parquet files, as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(folder).where(F.col(key) == value)
 
@@ -32,3 +34,53 @@ def control_stream(control: DataFrame, checkpoint: str, out: str) -> StreamingQu
 
 def control_totals(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("session_id", "team").agg(F.sum("frames").alias("frames"))
+
+
+def write_in_turn(chunks: list[DataFrame], folder: str) -> None:
+    """Chunks as one Parquet file each, in order, as a source that arrives piece by piece."""
+    for number, chunk in enumerate(chunks):
+        chunk.coalesce(1).write.parquet(f"{folder}/part={number}")
+
+
+def carried_switches(control: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
+    """frames and switches of possession of every session so far, with the state carried from chunk to chunk.
+
+    control: session_id, at (what orders rows), team. Chunks must arrive in order; within a
+    chunk rows are sorted. Every batch writes the sessions that it changed under its number.
+    """
+
+    def fold(key, frames, state):
+        frames = pd.concat(list(frames)).sort_values("at")
+        n, switches, last = state.get if state.exists else (0, 0, 0)
+        for team in frames["team"]:
+            if team:
+                switches += int(last not in (0, team))
+                last = int(team)
+        state.update((n + len(frames), switches, last))
+        yield pd.DataFrame({"session_id": [key[0]], "frames": [n + len(frames)], "switches": [switches]})
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    found = control.groupBy("session_id").applyInPandasWithState(
+        fold, "session_id long, frames long, switches long", "frames long, switches long, last int", "update", GroupStateTimeout.NoTimeout
+    )
+    return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_batch(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The last row that the batches wrote for each key."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("last")).select(key, "last.*")
+
+
+def copy_stream(rows: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
+    """What arrives, appended to a Parquet table, each row once."""
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot_then_tail(snapshot: DataFrame, tail: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The latest version of each row of a snapshot and of what was tailed since."""
+    ranked = snapshot.unionByName(tail).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where("__rank = 1").drop("__rank")
