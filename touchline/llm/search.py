@@ -232,7 +232,7 @@ def search(
     k1: float = 1.2,
     b: float = 0.75,
     block_queries: int = 1024,
-    blocks_a_job: int = 8,
+    blocks_a_job: int = 1,
 ) -> DataFrame:
     """query_id, rank, id_col, score: the k best documents of every query (id_col, text_col), exactly.
 
