@@ -1,17 +1,15 @@
 """Exact top-k search: BM25 over inverted-index shards with block-max pruning.
 
-A shard is an inverted index of a few thousand documents, bounded in documents and words:
-sorted term hashes, and for each the places and frequencies of its documents, in order.
-Document frequencies, the number of documents and their mean length are global, so the
-scores of all shards compare and their best k merge exactly.
-
-A shard serves blocks of queries. Postings are cut into blocks of 64 documents, each with
-the largest impact of every term. A query's terms are put in order of their largest impact
-in the shard; those whose sum stays below its k-th best score so far (the terms before the
-pivot) cannot bring in a document by themselves, so only blocks that hold the pivot or a
-later term are looked at. Of these, blocks whose summed block maxima stay below the k-th
-best score are skipped too, and postings are read in the remaining blocks alone. The k-th
-best score carries over from shard to shard within a task.
+A shard is an inverted index of a few thousand documents, bounded in documents and words: sorted term hashes, and for each
+the places and frequencies of its documents. Document frequencies, the number of documents
+and their mean length are global, so the scores of all shards compare and their best k
+merge exactly.
+
+A shard serves a block of queries at a time. Postings of a query's rare terms are added
+up first. Its frequent terms are bounded, for each block of 64 documents, by their largest
+impacts there; where that bound and the best rare sum of the block together do not reach
+the query's k-th best score so far, the block is skipped, and else its frequent terms are
+added too. The k-th best score carries over from shard to shard within a task.
 """
 
 from __future__ import annotations
@@ -39,7 +37,7 @@ def _term_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w.encode(), 9) for w in words], np.uint64)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 4096, shard_words: int = 1 << 21) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 4096, shard_words: int = 1 << 22) -> DataFrame:
     """A row of packed arrays for each shard, with n (documents) and words (their total length).
 
     A shard ends at shard_docs documents or shard_words words; a longer document ends its shard.
@@ -112,115 +110,72 @@ class QueryBlock:
         self.weight = weights[order]
 
 
-class Shard:
-    """A shard's arrays with, for one mean length, the impact of each posting and the block maxima of each term."""
-
-    def __init__(self, part: dict[str, np.ndarray], mean_length: float, k1: float, b: float):
-        self.ids, self.terms, self.offsets, self.places = part["ids"], part["terms"], part["offsets"].astype(np.int64), part["places"]
-        norm = k1 * (1 - b + b * part["lengths"] / max(mean_length, 1e-9))
-        self.impact = part["counts"] * (k1 + 1) / (part["counts"] + norm[self.places])
-        self.blocks = -(-len(self.ids) // BLOCK)
-        df = np.diff(self.offsets)
-        owner = np.repeat(np.arange(len(df)), df) * self.blocks + self.places // BLOCK
-        self.low = np.nonzero(np.diff(owner, prepend=-1))[0]  # the first posting of each term and block
-        self.high = np.append(self.low[1:], len(owner))
-        self.block = owner[self.low] % max(1, self.blocks)
-        self.peak = np.maximum.reduceat(self.impact, self.low) if len(self.low) else self.impact
-        self.first = np.searchsorted(owner[self.low] // max(1, self.blocks), np.arange(len(df) + 1))
-        self.top = np.maximum.reduceat(self.peak, self.first[:-1]) if len(df) else self.peak  # a term's largest impact
-        self.dense = df > max(8, len(self.ids) // FREQUENT)
-
-
-def _spans(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges of n from low, and the range that each is of."""
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) + (low - np.concatenate([[0], np.cumsum(n)[:-1]]))[of], of
-
-
-def search_shard(block: QueryBlock, shard: Shard, k: int, best: dict[int, tuple]) -> None:
+def search_shard(
+    block: QueryBlock, part: dict[str, np.ndarray], mean_length: float, k: int, best: dict[int, tuple], k1: float, b: float
+) -> None:
     """Merge the shard's documents into best: query -> (scores, ids), at most k each, by score, then id."""
-    if not len(shard.terms):
-        return
-    at = np.minimum(np.searchsorted(shard.terms, block.terms), len(shard.terms) - 1)
-    there = shard.terms[at] == block.terms
-    frequent = np.nonzero(there & shard.dense[at])[0]
+    n = len(part["ids"])
+    at = np.minimum(np.searchsorted(part["terms"], block.terms), max(0, len(part["terms"]) - 1))
+    found = part["terms"][at] == block.terms if len(part["terms"]) else np.zeros(len(block.terms), bool)
+    low, high = part["offsets"][at], part["offsets"][at + 1] if len(part["terms"]) else part["offsets"][at]
+    df = np.where(found, high - low, 0)
+    norm = k1 * (1 - b + b * part["lengths"] / max(mean_length, 1e-9))
+    impact = part["counts"] * (k1 + 1) / (part["counts"] + norm[part["places"]])
+    dense = np.nonzero(df > max(8, n // FREQUENT))[0]
     column = np.full(len(block.terms), -1)
-    column[frequent] = np.arange(len(frequent))
-    impacts = np.zeros((len(frequent), shard.blocks * BLOCK))
-    for row, t in enumerate(at[frequent]):
-        own = slice(shard.offsets[t], shard.offsets[t + 1])
-        impacts[row, shard.places[own]] = shard.impact[own]
-    largest = impacts.reshape(len(frequent), shard.blocks, BLOCK).max(axis=2)
+    column[dense] = np.arange(len(dense))
+    blocks = -(-n // BLOCK)
+    frequent = np.zeros((len(dense), blocks * BLOCK))
+    for row, t in enumerate(dense):
+        frequent[row, part["places"][low[t] : high[t]]] = impact[low[t] : high[t]]
+    largest = frequent.reshape(len(dense), blocks, BLOCK).max(axis=2)
     step = 256
     for first in range(0, len(block.ids), step):
         size = min(step, len(block.ids) - first)
         span = slice(*np.searchsorted(block.query, [first, first + size]))
-        known = there[block.term[span]]
-        query, term, weight = block.query[span][known] - first, block.term[span][known], block.weight[span][known]
+        query, term, weight = block.query[span] - first, block.term[span], block.weight[span]
+        rare = (df[term] > 0) & (column[term] < 0)
+        sums = _rare_sums(query[rare], weight[rare], low[term[rare]], df[term[rare]], part["places"], impact, size, blocks * BLOCK)
+        own = column[term] >= 0
+        weights = np.zeros((size, len(dense)))
+        weights[query[own], column[term[own]]] = weight[own]
         limit = np.array([best[q][0][-1] if q in best and len(best[q][0]) == k else -1.0 for q in range(first, first + size)])
-        alive = _alive(query, at[term], weight, column[term], limit, shard, largest)
-        sums = np.zeros(size * shard.blocks * BLOCK)
-        rare = column[term] < 0
-        query_, term_, weight_ = query[rare], at[term[rare]], weight[rare]
-        for start in range(0, len(query_), 1 << 14):  # bounds what is expanded at once
-            some = slice(start, start + (1 << 14))
-            entry, of = _spans(shard.first[term_[some]], np.diff(shard.first)[term_[some]])
-            kept = alive[query_[some][of], shard.block[entry]]
-            entry, of = entry[kept], of[kept]
-            posting, at_entry = _spans(shard.low[entry], (shard.high - shard.low)[entry])
-            of = of[at_entry]
-            base = query_[some][0] * shard.blocks * BLOCK if len(query_[some]) else 0
-            cell = query_[some][of] * shard.blocks * BLOCK + shard.places[posting] - base
-            if len(cell):
-                added = np.bincount(cell, weight_[some][of] * shard.impact[posting])
-                sums[base : base + len(added)] += added
-        sums = sums.reshape(size, shard.blocks * BLOCK)
-        weights = np.zeros((size, len(frequent)))
-        weights[query[~rare], column[term[~rare]]] = weight[~rare]
-        for s in range(shard.blocks):
+        bound = weights @ largest + sums.reshape(size, blocks, BLOCK).max(axis=2)
+        alive = bound >= limit[:, None] - 1e-6
+        for s in range(blocks):
             some = np.nonzero(alive[:, s])[0]
-            if len(some) and len(frequent):
+            if len(some):
                 cols = slice(s * BLOCK, (s + 1) * BLOCK)
-                sums[some, cols] += weights[some] @ impacts[:, cols]
-        sums = np.round(sums[:, : len(shard.ids)], 6)
+                sums[some, cols] += weights[some] @ frequent[:, cols]
+        sums[~np.repeat(alive, BLOCK, axis=1)] = 0
+        sums = np.round(sums[:, :n], 6)
         for q in range(size):
             row = sums[q]
             hits = np.nonzero((row >= limit[q]) & (row > 0))[0]
             if len(hits) > 4 * k:
                 hits = hits[row[hits] >= np.partition(row[hits], len(hits) - k)[len(hits) - k]]
             if len(hits):
-                scores, ids = row[hits], shard.ids[hits]
+                scores, ids = row[hits], part["ids"][hits]
                 if first + q in best:
                     scores, ids = np.concatenate([best[first + q][0], scores]), np.concatenate([best[first + q][1], ids])
                 order = np.lexsort((ids, -scores))[:k]
                 best[first + q] = scores[order], ids[order]
 
 
-def _alive(query, term, weight, column, limit, shard: Shard, largest: np.ndarray) -> np.ndarray:
-    """For each query and block of the shard, whether a document of it may reach the query's limit."""
-    size = len(limit)
-    bound, pivotal = np.zeros(size * shard.blocks), np.zeros(size * shard.blocks)
-    top = weight * shard.top[term]
-    order = np.lexsort((top, query))  # a query's terms by their largest share in a score
-    run = np.cumsum(top[order])
-    starts = np.searchsorted(query[order], np.arange(size))
-    before = np.concatenate([[0.0], run])[starts]
-    late = np.empty(len(query), bool)  # the pivot and the terms after it
-    late[order] = run - before[query[order]] >= limit[query[order]] - 1e-6
-    rare = column < 0
-    weights = np.zeros((2, size, len(largest)))
-    weights[0][query[~rare], column[~rare]] = weight[~rare]
-    weights[1][query[~rare], column[~rare]] = late[~rare]
-    query, term, weight, late = query[rare], term[rare], weight[rare], late[rare]
-    for start in range(0, len(query), 1 << 14):
-        some = slice(start, start + (1 << 14))
-        entry, of = _spans(shard.first[term[some]], np.diff(shard.first)[term[some]])
-        cell = query[some][of] * shard.blocks + shard.block[entry]
-        bound += np.bincount(cell, weight[some][of] * shard.peak[entry], len(bound))
-        pivotal += np.bincount(cell, late[some][of], len(bound))
-    bound = bound.reshape(size, shard.blocks) + weights[0] @ largest
-    pivotal = pivotal.reshape(size, shard.blocks) + weights[1] @ (largest > 0)
-    return (bound >= limit[:, None] - 1e-6) & (pivotal > 0)
+def _rare_sums(query, weight, low, df, places, impact, rows, columns) -> np.ndarray:
+    """Sums over all postings of (query, term) entries, by query and document; rows * columns is bounded."""
+    out = np.zeros(rows * columns)
+    if len(query):
+        ends = np.cumsum(df)
+        for start in range(0, len(query), 1 << 14):
+            stop = min(len(query), start + (1 << 14))
+            n = df[start:stop]
+            before = np.concatenate([[0], ends[start : stop - 1] - (ends[start - 1] if start else 0)]) if stop > start else n
+            posting = np.arange(n.sum()) + np.repeat(low[start:stop] - before, n)
+            cell = np.repeat(query[start:stop] * columns, n) + places[posting]
+            low_cell, high_cell = query[start] * columns, (query[stop - 1] + 1) * columns
+            out[low_cell:high_cell] += np.bincount(cell - low_cell, np.repeat(weight[start:stop], n) * impact[posting], high_cell - low_cell)
+    return out.reshape(rows, columns)
 
 
 def search(
@@ -232,7 +187,6 @@ def search(
     k1: float = 1.2,
     b: float = 0.75,
     block_queries: int = 1024,
-    blocks_a_job: int = 1,
 ) -> DataFrame:
     """query_id, rank, id_col, score: the k best documents of every query (id_col, text_col), exactly.
 
@@ -241,7 +195,8 @@ def search(
     found. Null ids are left out on both sides; null texts match nothing. Queries of one id
     are one query of all their words; documents of one id are found each. Other columns are
     left out, whatever their names, and an empty table gives no rows. Queries are served in
-    blocks of a bounded number, blocks_a_job of them by a job over all shards.
+    blocks of a bounded number, each against all shards by a job of its own, so the driver
+    holds one block at a time.
     """
     spark = docs.sparkSession
     index = cut(build_index(docs, id_col, text_col), "index")
@@ -255,30 +210,27 @@ def search(
     weighted = weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
     weighted = cut(weighted.repartition("block").sortWithinPartitions("block"), "queries")
     mean_length, found = words / max(1, n), []
-    for number in range(0, blocks, blocks_a_job):
-        own = weighted.where(F.col("block").between(number, number + blocks_a_job - 1)).toPandas()  # a bounded number of queries
+    for number in range(blocks):
+        own = weighted.where(F.col("block") == number).drop("block").toPandas()  # a bounded number of queries
         sent = spark.sparkContext.broadcast(
-            [(g["query_id"].to_numpy(), g["term"].to_numpy(np.int64).view(np.uint64), g["weight"].to_numpy()) for _, g in own.groupby("block")]
+            (own["query_id"].to_numpy(), own["term"].to_numpy(np.int64).view(np.uint64), own["weight"].to_numpy())
         )
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            served = [(QueryBlock(*arrays), {}) for arrays in sent.value]
+            block, best = QueryBlock(*sent.value), {}
             for batch in batches:
                 for i in range(batch.num_rows):
                     part = {p: np.frombuffer(batch.column(j)[i].as_py(), kind) for j, (p, kind) in enumerate(zip(PARTS, KINDS, strict=True))}
-                    shard = Shard(part, mean_length, k1, b)
-                    for block, best in served:
-                        search_shard(block, shard, k, best)
-            for block, best in served:
-                if best:
-                    frame = pd.DataFrame(
-                        {
-                            "query_id": np.repeat(block.ids[list(best)], [len(s) for s, _ in best.values()]),
-                            "id": np.concatenate([i for _, i in best.values()]),
-                            "score": np.concatenate([s for s, _ in best.values()]),
-                        }
-                    )
-                    yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                    search_shard(block, part, mean_length, k, best, k1, b)
+            if best:
+                frame = pd.DataFrame(
+                    {
+                        "query_id": np.repeat(block.ids[list(best)], [len(s) for s, _ in best.values()]),
+                        "id": np.concatenate([i for _, i in best.values()]),
+                        "score": np.concatenate([s for s, _ in best.values()]),
+                    }
+                )
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
         hits = index.select(*PARTS).mapInArrow(run, "query_id long, id long, score double")
         found.append(cut(hits, "hits"))
