@@ -1,8 +1,6 @@
-import public_tokenizers
-
 import corpus_pipeline
-from tests.llm.test_packing import check
-from touchline.llm import language, lines, mixing, simhash
+from tests.llm.helpers import documents, hard_texts
+from touchline.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +33,21 @@ def test_run_packs_what_the_stages_keep(spark):
     for r in rows:
         by_doc.setdefault((r["doc_id"], r["piece"]), []).append(r)
     assert sum(1 for r in rows if r["piece"] == 0) == len(kept)
+
+
+def test_hard_rows_and_empty_table(spark):
+    docs = documents(spark, hard_texts())
+    some = hard_texts()[4]
+    for table in (docs, docs.limit(0)):
+        texts = {}
+        for name, stage in corpus_pipeline.STAGES:
+            table = stage(spark, table, SF)
+            if name != "packing":
+                assert table.columns == docs.columns
+                texts[name] = [r["text"] for r in table.select("text").collect()]
+            table = spark.createDataFrame(table.collect(), table.schema)
+        assert not any(t is None or not any(c.isalpha() for c in t) for t in texts["language_id"])
+        assert texts["line_dedup"].count(some) == min(1, texts["language_id"].count(some))
+        assert texts["simhash_dedup"].count(some) == texts["line_dedup"].count(some)
+        assert table.where("piece = 0").count() == len(texts["source_mix"])
+        assert (table.count() == 0) == (not texts["language_id"])
