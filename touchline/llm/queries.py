@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, lines, mixing, packing, search, simhash, sketches, toxicity, urls
+from touchline.llm import exact, html, language, lines, mixing, packing, search, simhash, sketches, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,9 +141,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.find_copies(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with d as (
+  select doc_id, coalesce(length(text), 0) as n,
+         translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') as norm
+  from documents
+), ranked as (
+  select *, row_number() over w as place, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size
+  from d window w as (partition by norm order by n desc, doc_id nulls last)
+)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha256 from ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints}
+    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints, "op11_exact_dedup": op11_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op11_exact_dedup": OP11_SQL}
