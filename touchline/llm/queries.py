@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact, html, language, lines, mixing, packing, search, simhash, sketches, toxicity, urls
+from touchline.llm import exact, html, language, lines, mixing, packing, search, simhash, sketches, toxicity, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,9 +158,52 @@ select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha2
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest, turn
+  from conversations where conv_id is not null
+), numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest) as nth from t
+), convs as (
+  select conv_id, conv_id - conv_id % 100 as base, count(*) as n,
+         xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+           lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, i: xor(z >> 1, (z & 1) * 3988292384)))) % 6 as h
+  from numbered group by conv_id
+), rebuilt as (
+  select c.conv_id, n.nth as at, n.digest, length(n.text) as size from convs c join numbered n on n.conv_id = c.base and n.nth <= c.h
+  union all
+  select c.conv_id, 10 + n.nth, n.digest, length(n.text) from convs c join numbered n on n.conv_id = c.conv_id and n.nth > c.h
+), whole as (
+  select c.conv_id, coalesce(list(r.digest order by r.at) filter (r.digest is not null), []) as turns,
+         coalesce(list(r.size order by r.at) filter (r.digest is not null), []) as sizes
+  from convs c left join rebuilt r using (conv_id) group by c.conv_id
+), prefixes as (
+  select conv_id, turns, d as depth, list_slice(turns, 1, d) as node, case when d = 0 then 0 else sizes[d] end as size
+  from (select *, unnest(range(len(turns) + 1)) as d from whole)
+), nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(turns) = depth), '')) as ends_sha256
+  from prefixes group by node, depth
+), tied as (
+  select a.*, p.conv_id as parent_conv_id, (select count(*) from nodes k where k.depth = a.depth + 1 and list_slice(k.node, 1, a.depth) = a.node) as n_children
+  from nodes a left join nodes p on p.depth = a.depth - 1 and p.node = list_slice(a.node, 1, a.depth - 1)
+), below as (
+  select list_slice(node, 1, i) as node, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * size) as saved_tokens
+  from (select *, unnest(range(depth + 1)) as i from tied) group by 1
+)
+select t.conv_id, t.depth::bigint as depth, t.parent_conv_id, t.n_convs, t.n_children, b.n_leaves, b.saved_tokens::bigint as saved_tokens, t.ends_sha256
+from tied t join below b on b.node = t.node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints, "op11_exact_dedup": op11_exact_dedup}
+    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints, "op11_exact_dedup": op11_exact_dedup, "op12_prefix_trie": op12_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op11_exact_dedup": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL}
