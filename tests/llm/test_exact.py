@@ -28,7 +28,7 @@ def found(docs, **options):
     return collections.Counter(map(tuple, exact.find_copies(docs, **options).collect()))
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 2}, {"capacity": 8, "key": lambda norm: F.length(norm) % 5}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 2, "page_rows": 2}, {"page_rows": 8, "key": lambda norm: F.length(norm) % 5}])
 def test_against_brute_force(spark, options):
     """Ordinary keys, tiny buckets and pages, and keys that nearly all texts share."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -42,7 +42,7 @@ def test_hard_rows(spark):
     texts = hard_texts()
     ids = [None, *range(1, len(texts) - 1), 5]
     docs = documents(spark, texts, ids=ids)
-    assert found(docs, capacity=1) == brute_force(list(zip(ids, texts, strict=True)))
+    assert found(docs, capacity=1, page_rows=1) == brute_force(list(zip(ids, texts, strict=True)))
     assert exact.find_copies(docs.limit(0)).count() == 0
     kept = exact.keep_unique(docs)
     assert kept.columns == docs.columns and kept.count() == len({"".join((t or "").split()) for t in texts})
@@ -50,7 +50,7 @@ def test_hard_rows(spark):
 
 def test_repeated_rows_leave_one(spark):
     docs = documents(spark, ["x y"] * 9, ids=[3] * 9)
-    assert sum(r["kept"] for r in exact.find_copies(docs, capacity=2).collect()) == 1
+    assert sum(r["kept"] for r in exact.find_copies(docs, page_rows=2).collect()) == 1
 
 
 def test_directory_doubles_until_no_bucket_is_overfull(spark):

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from touchline.llm.common import cut, discard
 
 WHITE = " \t\n\x0b\f\r"
-CAPACITY = 4096  # keys of a bucket, and rows of a page, at most
+CAPACITY = 4096  # keys of a bucket at most
+PAGE_ROWS = 128
 PAGE_BYTES = 16 << 20
 FAN = 64  # pages of a key that meet in one page of the next level
 
@@ -111,6 +112,7 @@ def find_copies(
     text_col: str = "text",
     carry: Column | None = None,
     capacity: int = CAPACITY,
+    page_rows: int = PAGE_ROWS,
     key=key_of,
 ) -> DataFrame:
     """id, keep_id, group_size, kept and text_sha256 of every row of docs, and carry where one is given.
@@ -133,7 +135,7 @@ def find_copies(
     size = F.sum(F.octet_length("norm").cast("long"))
     keys = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes")), "keys")
     buckets = grow_directory(keys, capacity)
-    pages = F.greatest(F.ceil(F.col("rows") / capacity), F.ceil(F.col("bytes") / PAGE_BYTES)).cast("long")
+    pages = F.greatest(F.ceil(F.col("rows") / page_rows), F.ceil(F.col("bytes") / PAGE_BYTES)).cast("long")
     shared = cut(look_up(keys.where("rows > 1").select("h", pages.alias("pages")), buckets), "index")
 
     held = rows.join(shared, "h", "left")
@@ -144,7 +146,7 @@ def find_copies(
     routed = cut(routed, "routed")
 
     load = keys.where("rows > 1").agg(F.sum("rows"), F.sum("bytes")).first()
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (load[0] or 0) // (16 * capacity), (load[1] or 0) >> 26)
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (load[0] or 0) >> 16, (load[1] or 0) >> 26)
     members = _own(routed.where("pages is not null"), owners, "members")
 
     spot = ["h", "page", "link"]
