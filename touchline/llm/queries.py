@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact, html, language, lines, mixing, packing, search, simhash, sketches, toxicity, trie, urls
+from touchline.llm import exact, html, language, lines, mixing, negatives, packing, search, simhash, sketches, toxicity, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,9 +201,37 @@ from tied t join below b on b.node = t.node
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50 is an anchor; every seventh label is moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+OP13_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as integer) as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join scored s on s.anchor_id = p.anchor_id and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints, "op11_exact_dedup": op11_exact_dedup, "op12_prefix_trie": op12_prefix_trie}
+    return {"op1_url_filter": op1_url_filter, "op7_html": op7_html, "op2_line_dedup": op2_line_dedup, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op9_search": op9_search, "op10_fingerprints": op10_fingerprints, "op11_exact_dedup": op11_exact_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op1_url_filter": OP1_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
