@@ -8,7 +8,6 @@ sides of a join then come straight from an exchange.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDER: list[str] = []
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,19 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back, which ends its lineage.
 
-    free: shuffle files of the finished jobs are given back afterwards. Spark frees them when
-    the driver's garbage collector notices that nothing refers to them any more; small tables
-    of a loop leave that to the loop's end.
+    free: Spark gives back the shuffle files of the write as soon as it is done, instead of when
+    the driver notices that nothing refers to them any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/touchline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, str(free).lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._touchline_path = path
-    del df
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return table
 
 

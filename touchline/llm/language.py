@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-PIECE = 1 << 21  # characters handled at once
+PIECE = 1 << 18  # characters handled at once
 UNKNOWN = "und"
 
 
