@@ -7,8 +7,8 @@ patterns and sources only, never over documents; how many patterns there may be
 documented bound max_patterns. A pattern that is to give f words out of w gives f // w
 whole passes and f % w words of seeded, randomly ranked documents. The rank at which
 these end is found by radix selection: sums by rank digit, then within the digit that
-holds the end, and so on, so no task ever orders all documents of a pattern. The same is
-done again over the later documents that are no larger than the words left, until none fits.
+holds the end, and so on, so no task ever orders all documents of a pattern. What is then
+open goes to the largest later documents that fit, counted by size, until none fits.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from touchline.llm.common import cut, discard
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 DIGIT_BITS = 10
-RANK_SHIFT = 63 % DIGIT_BITS  # ranks that differ in fewer bits are not told apart
-RUNS = "array<struct<low: long, high: long, most: long>>"
+RUNS = "array<struct<low: long, high: long, least: long, most: long>>"
 LAST = (1 << 63) - 1  # above every rank but itself
 
 
@@ -115,96 +114,102 @@ def route(patterns: list[tuple[str, list[str | None], int]], weights: dict | Non
     return plan
 
 
-def _prefix(ranked: DataFrame, rest: dict[str, int], fits: dict[str, tuple[int, int]] | None = None) -> dict[str, tuple[int, int]]:
-    """For each pattern the rank before which documents fit into its rest, and the words then left.
+def _ends(ranked: DataFrame, keys: list[str], asked: dict[tuple, tuple[int, int]]) -> dict[tuple, tuple[int, int]]:
+    """For each group of rows the rank before which documents fit into its words, and the words then left.
 
-    fits: for each pattern the rank from which and the size up to which documents are looked at (default: all).
+    asked: by the group's values of keys, the rank to begin at and the words. All groups are looked
+    at together, in one job for each digit of the rank.
     """
     spark = ranked.sparkSession
-    if fits is not None:
-        rows = [(k, low, size) for k, (low, size) in fits.items()]
-        within = spark.createDataFrame(rows, "pattern string, from_rank long, most long")
-        ranked = ranked.join(F.broadcast(within), "pattern").where("rank >= from_rank and size <= most").drop("from_rank", "most")
-    ends, done = {}, {key: (0, left) for key, left in rest.items() if left <= 0}
-    open_ = {key: (0, left) for key, left in rest.items() if left > 0}  # lowest rank still open, words left
+    kinds = [ranked.schema[k].dataType.simpleString() for k in keys]
+    names = [f"{k} {kind}" for k, kind in zip(keys, kinds, strict=True)]
+    ends = {key: (low, left) for key, (low, left) in asked.items() if left <= 0}
+    open_ = {key: (low, 0, left) for key, (low, left) in asked.items() if left > 0}  # first rank, start of the open digit, words left
     for level in range(1, 63 // DIGIT_BITS + 1):
         if not open_:
             break
         shift = 63 - DIGIT_BITS * level
-        if shift < 0:
-            break
-        state = spark.createDataFrame([(k, lo, left) for k, (lo, left) in open_.items()], "pattern string, low long, open_words long")
-        inside = ranked.join(F.broadcast(state), "pattern").where(
-            F.expr(f"shiftright(rank, {shift + DIGIT_BITS}) = shiftright(low, {shift + DIGIT_BITS})")
-        )
-        sums = inside.groupBy("pattern", "open_words", F.expr(f"shiftright(rank, {shift})").alias("digit")).agg(
+        state = spark.createDataFrame([(*k, *v) for k, v in open_.items()], f"{', '.join(names)}, first_rank long, low long, open_words long")
+        inside = ranked.join(F.broadcast(state), keys).where("rank >= first_rank")
+        if level > 1:
+            inside = inside.where(F.expr(f"shiftright(rank, {shift + DIGIT_BITS}) = shiftright(low, {shift + DIGIT_BITS})"))
+        sums = inside.groupBy(*keys, "open_words", F.expr(f"shiftright(rank, {shift})").alias("digit")).agg(
             F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")
         )
-        upto = Window.partitionBy("pattern").orderBy("digit")
+        upto = Window.partitionBy(*keys).orderBy("digit")
         sums = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
         over = sums.where("before + words > open_words")
-        first = over.groupBy("pattern").agg(F.min(F.struct("digit", "before", "n")).alias("at"))
-        found = {r["pattern"]: r["at"] for r in first.collect()}  # one row for each pattern
-        for key, (low, left) in list(open_.items()):
-            if key not in found:  # everything in this digit fits
-                ends[key] = (low + (1 << (shift + DIGIT_BITS)) if level > 1 else (1 << 63) - 1, left)
+        first = over.groupBy(*keys).agg(F.min(F.struct("digit", "before", "n")).alias("at"))
+        whole = sums.groupBy(*keys).agg(F.sum("words").alias("words"))
+        found = {tuple(r[k] for k in keys): (r["at"], r["words"]) for r in whole.join(first, keys, "left").collect()}  # a row a group
+        for key, (start, low, left) in list(open_.items()):
+            at, words = found.get(key, (None, 0))
+            if at is None:  # everything in this digit fits
+                ends[key] = (low + (1 << (shift + DIGIT_BITS)) if level > 1 else LAST, left - words)
                 del open_[key]
                 continue
-            digit, before, n = found[key]
-            open_[key] = (digit << shift, left - before)
-            if n == 1 or shift < DIGIT_BITS:
-                ends[key] = open_.pop(key)
-    return done | ends
+            open_[key] = (start, at["digit"] << shift, left - at["before"])
+            if at["n"] == 1 or shift < DIGIT_BITS:
+                ends[key] = open_.pop(key)[1:]
+    return ends
 
 
-def _runs(ranked: DataFrame, rest: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
-    """For each pattern the runs of ranks (from, before, largest size) whose documents fill its rest, until nothing fits.
+def _fill(ranked: DataFrame, rest: dict[str, tuple[int, int]]) -> dict[tuple[str, int], int]:
+    """How many more documents of which size a pattern takes, by (pattern, size): the largest that fit, down to none.
 
-    Each run ends before a document larger than the words then left, and the next one looks
-    only at later documents that fit. Rows of one rank are taken or passed over together.
+    rest: for each pattern the rank from which documents are free, and the words left. A job looks
+    at the largest sizes that together fit, which are no more than the root of twice the words.
     """
-    runs: dict[str, list[tuple[int, int, int]]] = {key: [] for key in rest}
-    fits = {key: (0, left) for key, left in rest.items() if left > 0}
-    while fits:
-        ends = _prefix(ranked, {key: left for key, (_, left) in fits.items()}, fits)
-        for key, (low, left) in list(fits.items()):
-            high, still = ends[key]
-            if high >= LAST or still < left:  # at LAST all that remains fits
-                runs[key].append((low, high, left))
-            else:  # rows of one rank, which do not fit together
-                high += 1 << RANK_SHIFT
-            if high >= LAST or still <= 0:
-                del fits[key]
-            else:
-                fits[key] = (high, still)
-    return runs
-
-
-def _tiers(ranked: DataFrame, plan: Plan, max_repeats: int) -> dict[str, list[list[tuple[int, int, int]]]]:
-    """For each pattern the runs of its last pass, and of further ones for words that no document not yet taken fits.
-
-    A further pass costs a repetition more, so it only gets what the pass before it left open,
+    take: dict[tuple[str, int], int] = {}
+    open_ = {key: (rank, left, left + 1) for key, (rank, left) in rest.items() if left > 0}
+    while open_:
+        rows = [(key, *v) for key, v in open_.items()]
+        state = ranked.sparkSession.createDataFrame(rows, "pattern string, free long, open_words long, below long")
+        fits = ranked.join(F.broadcast(state), "pattern").where("rank >= free and size <= open_words and size < below")
+        sizes = fits.groupBy("pattern", "open_words", "size").agg(F.count(F.lit(1)).alias("n"))
+        down = Window.partitionBy("pattern").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(down), F.lit(0))).where("before < open_words")
+        seen = set()
+        for r in sorted(sizes.collect(), key=lambda r: -r["size"]):
+            key, size = r["pattern"], r["size"]
+            free, left, _ = open_[key]
+            n = min(r["n"], left // size)
+            if n:
+                take[key, size] = n
+            open_[key] = (free, left - n * size, size)
+            seen.add(key)
+        open_ = {key: v for key, v in open_.items() if key in seen and v[1] > 0}
+    return take
+
+
+def _tiers(ranked: DataFrame, plan: Plan, max_repeats: int) -> dict[str, list[list[tuple[int, int, int, int]]]]:
+    """For each pattern the runs (ranks from, before; sizes from, to) of its last pass, and of further ones for words still open.
+
+    A pass takes documents by rank as long as they fit, then the largest later ones that fit. A further
+    pass costs a repetition more, so it only gets what the pass before it left open,
     and no document is taken more than max_repeats times.
     """
-    tiers: dict[str, list[list[tuple[int, int, int]]]] = {key: [] for key in plan.rest}
+    tiers: dict[str, list[list[tuple[int, int, int, int]]]] = {key: [] for key in plan.rest}
     left = dict(plan.rest)
     while left:
-        runs = _runs(ranked, left)
-        for key, own in runs.items():
-            tiers[key].append(own)
-        state = ranked.sparkSession.createDataFrame(list(runs.items()), f"pattern string, runs {RUNS}")
-        chosen = ranked.join(F.broadcast(state), "pattern").where(F.expr("exists(runs, r -> rank >= r.low and rank < r.high and size <= r.most)"))
-        given = {r["pattern"]: r["words"] for r in chosen.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}  # a row a pattern
-        still = {key: n - given.get(key, 0) for key, n in left.items()}
+        ends = {key[0]: end for key, end in _ends(ranked, ["pattern"], {(key,): (0, n) for key, n in left.items()}).items()}
+        take = _fill(ranked, ends)
+        more = _ends(ranked, ["pattern", "size"], {(key, size): (ends[key][0], n * size) for (key, size), n in take.items()})
+        still = {}
+        for key, (end, words) in ends.items():
+            own = [(end, more[k][0], k[1], k[1]) for k in take if k[0] == key]
+            tiers[key].append([(0, end, 0, LAST), *own])
+            still[key] = words - sum(take[k] * k[1] - more[k][1] for k in take if k[0] == key)
         left = {key: n for key, n in still.items() if 0 < n < left[key] and plan.passes[key] + len(tiers[key]) < max_repeats}
     return tiers
 
 
 def _drawn(docs: DataFrame, id_col: str, text_col: str, memberships: Column | None, seed: int) -> Column:
-    """size, members, pattern and rank of a document, as a struct."""
+    """size, members, pattern and rank of a document, as a struct. The rank is 40 bits drawn by id and text, then 23 by the row."""
     members = F.array("source") if memberships is None else memberships
     members = F.sort_array(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    rank = F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).bitwiseAND((1 << 63) - 1)
+    drawn = F.shiftleft(F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).bitwiseAND((1 << 40) - 1), 23)
+    rank = drawn.bitwiseOR(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).bitwiseAND((1 << 23) - 1))
     return F.struct(
         word_count(text_col).alias("size"), members.alias("members"), F.to_json(members).alias("pattern"), rank.alias("rank")
     )
@@ -226,11 +231,12 @@ def mix(
     source of its own, an empty array none). weights: by source (default 1, 2, 3,
     repeating, over sources by code point, null last). taken is a multiple of size:
     documents are taken whole. A document that does not fit is passed
-    over, and so on until none that is left fits the pattern's words; words that are then
+    over for smaller ones, until none that is left fits the pattern's words; words that are then
     open go to one more repetition of documents that fit. Rows equal in id
-    and text share one draw; empty and null texts have size 0 and nothing is taken of
-    them; an empty table gives no rows. A column named mix is replaced. More than
-    max_patterns patterns raise an error.
+    and text are drawn one after another (their place in docs, which must read alike twice, tells
+    them apart, and as they are alike reruns agree); empty and null texts have size 0 and nothing is taken of
+    them; texts of any length are counted whole; an empty table gives no rows. A column named mix is
+    replaced. More than max_patterns patterns raise an error.
     """
     spark = docs.sparkSession
     drawn = _drawn(docs, id_col, text_col, memberships, seed)
@@ -248,7 +254,7 @@ def mix(
     state_type = f"pattern string, passes long, tiers array<{RUNS}>"
     state = spark.createDataFrame([(k, plan.passes[k], tiers[k]) for k in tiers], state_type)
     state = state.select(*(F.col(c).alias(f"__{c}") for c in state.columns))
-    chosen = F.expr("size(filter(__tiers, t -> exists(t, r -> mix.rank >= r.low and mix.rank < r.high and mix.size <= r.most)))")
+    chosen = F.expr("size(filter(__tiers, t -> exists(t, r -> mix.rank >= r.low and mix.rank < r.high and mix.size between r.least and r.most)))")
     taken = F.col("mix.size") * (F.col("__passes") + chosen)
     drawn_docs = docs.withColumn("mix", drawn)  # patterns are bounded by max_patterns, so their state is broadcast
     joined = drawn_docs.join(F.broadcast(state), F.col("mix.pattern") == F.col("__pattern"))
