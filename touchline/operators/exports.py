@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.sources.folders import written
+
 
 def sampled(df: DataFrame, stride: int, last: Column | None = None, order: str = "frame") -> DataFrame:
     """Every stride-th frame, and the last one."""
@@ -50,3 +52,20 @@ def overlay_full(rows: DataFrame, keys: list[str], is_target: Column, order: str
         F.first(F.when(is_target, F.array(x, y)), True).alias("target"),
         F.sort_array(F.collect_list(F.when(~is_target, F.array(F.col("track_id").cast("double"), x, y)))).alias("players"),
     )
+
+
+def equal_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """rows with ``part`` from 1 to parts, of consecutive rows by order, the first ones a row larger where they can't be equal.
+
+    Rows are sorted by ranges; a row's place is its place within its range after the rows of the ranges before it.
+    """
+    ranged = rows.repartitionByRange(F.col(order), F.monotonically_increasing_id()).sortWithinPartitions(order)
+    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "parts")  # partition number in the upper bits, row in the lower 33
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    starts = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
+    nth = placed.withColumns({"__range": part, "__row": row}).join(F.broadcast(starts), "__range").withColumn("__nth", F.col("__before") + F.col("__row"))
+    small, large = F.floor(F.col("__all") / parts), F.col("__all") % parts
+    first = large * (small + 1)
+    number = F.when(F.col("__nth") < first, F.floor(F.col("__nth") / (small + 1))).otherwise(large + F.floor((F.col("__nth") - first) / F.greatest(small, F.lit(1))))
+    return nth.select(*rows.columns, (number + 1).cast("int").alias("part"))

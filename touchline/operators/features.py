@@ -12,24 +12,55 @@ from touchline.operators.series import ordered
 
 WALKING, SPRINT_ZONE = 7.0, 24.0  # of the chart; sprints are found from play.SPRINT_SPEED on
 SCALE_FLOOR = 20.0
+# Colours of teams that have none of their own.
+TEAM_COLOURS = {1: "#3498db", 2: "#e74c3c"}
 
 
-def possession(control: DataFrame, keys: list[str], fps: float) -> DataFrame:
+def possession(control: DataFrame, keys: list[str], fps: float, colours: DataFrame | None = None) -> DataFrame:
+    """Percentages and seconds of possession to one decimal, and the teams' colours.
+
+    colours: keys, team, hex; a team without one gets the default.
+    """
     shares = play.possession_share(control, keys)
-    return shares.select(
+    if colours is None:
+        named = shares.withColumns({f"team{t}_color": F.lit(None).cast("string") for t in TEAM_COLOURS})
+    else:
+        own = colours.groupBy(*keys).agg(*(F.max(F.when(F.col("team") == t, F.col("hex"))).alias(f"team{t}_color") for t in TEAM_COLOURS))
+        named = shares.join(own, keys, "left")
+    return named.select(
         *keys,
-        *(F.col(f"{n}_pct") for n in ("team1", "team2", "neutral")),
-        *((F.col(f"{n}_frames") / F.lit(fps)).alias(f"{n}_seconds") for n in ("team1", "team2", "neutral")),
+        *(F.round(f"{n}_pct", 1).alias(f"{n}_pct") for n in ("team1", "team2", "neutral")),
+        *(F.coalesce(f"team{t}_color", F.lit(c)).alias(f"team{t}_color") for t, c in TEAM_COLOURS.items()),
+        *(F.round(F.col(f"{n}_frames") / F.lit(fps), 1).alias(f"{n}_seconds") for n in ("team1", "team2")),
     )
 
 
-def sprint_analysis(samples: DataFrame, keys: list[str], fps: float, speed: float = play.SPRINT_SPEED, seconds: float = play.SPRINT_SECONDS) -> DataFrame:
-    return play.sprint_stats(play.sprints(samples, keys, fps, speed, seconds), keys)
+def sprint_analysis(
+    samples: DataFrame,
+    keys: list[str],
+    fps: float,
+    speed: float = play.SPRINT_SPEED,
+    seconds: float = play.SPRINT_SECONDS,
+    located: Column | None = None,
+) -> DataFrame:
+    """sprint_count, avg_duration_s, max_duration_s, max_speed_kmh of every session of samples; a missing speed counts as 0.
+
+    located: whether a sample's position is known, of which a sprint needs two.
+    """
+    known = samples.withColumn("speed", F.coalesce(F.nanvl(F.col("speed").cast("double"), F.lit(None).cast("double")), F.lit(0.0)))
+    found = play.sprint_stats(known, play.sprints(known, keys, fps, speed, seconds, located), keys)
+    digits = {"avg_duration_s": 2, "max_duration_s": 2, "max_speed_kmh": 1}
+    return found.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
 
+def defensive_line(own: DataFrame, players: DataFrame, keys: list[str]) -> DataFrame:
+    """penetration_count, tracked_team, opponent_team: runs of three frames or more beyond the line of opponents (play.facing_line).
 
-def defensive_line(events: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
-    """penetration_count, tracked_team, opponent_team; own: keys, team of the tracked player's samples."""
+    own: keys, frame, team, x of the tracked player; players: keys, frame, team, x of all players.
+    """
     team = play.median_team(own, keys).withColumnRenamed("team", "tracked_team")
+    faced = play.facing_line(own, players, keys)
+    events = play.penetrations(faced.select(*keys, "frame", "x"), faced.select(*keys, "frame", "line_x"), keys)
     counted = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("penetration_count"))
     joined = team.join(counted, keys, "left").withColumn("penetration_count", F.coalesce("penetration_count", F.lit(0)))
     return joined.withColumn("opponent_team", F.when(F.col("tracked_team") == 1, 2).otherwise(1))
@@ -88,6 +119,36 @@ def summary_payload(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.select(*keys, F.to_json(F.struct(*(c for c in stats.columns if c not in keys))).alias("payload"))
 
 
+def period_series(samples: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance covered, mean and largest clean speed of each period (type, start_frame, end_frame); 0 and nulls without samples.
+
+    samples: keys, frame, speed, distance (metres so far).
+    """
+    from touchline.operators.matching import in_ranges
+
+    met = in_ranges(samples, periods, keys)
+    speed = play.clean_speed(F.col("speed").cast("double"))
+    found = met.groupBy(*keys, "start_frame").agg(
+        (F.max("distance") - F.min("distance")).alias("__metres"), F.avg(speed).alias("avg_speed_kmh"), F.max(speed).alias("max_speed_kmh")
+    )
+    named = periods.select(*keys, "start_frame", F.replace(F.col("type"), F.lit("_"), F.lit(" ")).alias("name"))
+    joined = named.join(found, [*keys, "start_frame"], "left")
+    return joined.select(*keys, "start_frame", "name", F.coalesce("__metres", F.lit(0.0)).alias("distance_m"), "avg_speed_kmh", "max_speed_kmh")
+
+
+def sampled_frames(videos: DataFrame, keys: list[str], fps: float, most: int = 60) -> DataFrame:
+    """nth, frame of the frames looked at in each video (total_frames): frame_rate() a second, ``most`` at most.
+
+    The k-th is the video's frame nearest the k-th tick of that rate, the last frame at most.
+    """
+    rate = frame_rate(F.greatest(F.col("total_frames") / F.lit(fps), F.lit(1.0)), most)
+    asked = videos.select(*keys, "total_frames", rate.alias("__rate"))
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.round(F.col("total_frames") / F.lit(fps) * F.col("__rate")).cast("int")))
+    ticks = asked.select(*keys, "total_frames", "__rate", F.explode(F.sequence(F.lit(0), n - 1)).alias("nth"))
+    frame = F.least(F.floor(F.col("nth") / F.col("__rate") * F.lit(fps) + 0.5).cast("int"), F.col("total_frames").cast("int") - 1)
+    return ticks.select(*keys, "nth", frame.alias("frame"))
+
+
 def frame_rate(duration: Column, most: int = 60) -> Column:
     """Frames a second to look at: one, but most frames in all."""
     return F.least(F.lit(1.0), F.lit(float(most)) / duration)

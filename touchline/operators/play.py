@@ -66,19 +66,28 @@ def player_summary(samples: DataFrame, keys: list[str], fps: float) -> DataFrame
     return found.withColumn("reliability", F.when(doubtful, "suspect").otherwise("ok"))
 
 
-def sprints(samples: DataFrame, keys: list[str], fps: float, speed: float = SPRINT_SPEED, seconds: float = SPRINT_SECONDS) -> DataFrame:
-    """Runs of frames at sprint speed of the minimum length: start, end, length, duration (end included), peak."""
-    peaks = runs(samples, keys, F.col("speed") >= speed, least=max(1, int(seconds * fps)), more=(F.max("speed").alias("peak_speed"),))
-    return peaks.withColumn("duration_s", (F.col("end") - F.col("start")) / F.lit(fps))
-
-
-def sprint_stats(found: DataFrame, keys: list[str]) -> DataFrame:
-    return found.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sprint_count"),
-        F.avg("duration_s").alias("avg_duration_s"),
-        F.max("duration_s").alias("max_duration_s"),
-        F.max("peak_speed").alias("max_speed_kmh"),
+def sprints(
+    samples: DataFrame, keys: list[str], fps: float, speed: float = SPRINT_SPEED, seconds: float = SPRINT_SECONDS, located: Column | None = None
+) -> DataFrame:
+    """Runs of frames at sprint speed of the minimum length: start, end, length, duration (end left out), peak.
+
+    located: whether a frame's position is known; a sprint then needs two such frames, to be drawn.
+    """
+    more = (F.max("speed").alias("peak_speed"), F.count_if(F.lit(True) if located is None else located).alias("__located"))
+    peaks = runs(samples, keys, F.col("speed") >= speed, least=max(1, int(seconds * fps)), more=more)
+    kept = peaks if located is None else peaks.where("__located >= 2")
+    return kept.drop("__located").withColumn("duration_s", (F.col("end") - F.col("start")) / F.lit(fps))
+
+
+def sprint_stats(samples: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Number and duration of the sprints found, and the top speed of all samples; sessions without sprints have zeros."""
+    counted = found.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sprint_count"), F.avg("duration_s").alias("avg_duration_s"), F.max("duration_s").alias("max_duration_s")
     )
+    tops = samples.groupBy(*keys).agg(F.coalesce(F.max("speed"), F.lit(0.0)).alias("max_speed_kmh"))
+    none = {"sprint_count": F.lit(0).cast("long"), "avg_duration_s": F.lit(0.0), "max_duration_s": F.lit(0.0)}
+    found = tops.join(counted, keys, "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    return found.select(*keys, *none, "max_speed_kmh")
 
 
 def speed_and_distance(tracks: DataFrame, keys: list[str], fps: float, back: int = 5, top: float = SPEED_HIGH) -> DataFrame:
@@ -110,8 +119,27 @@ def majority_vote(votes: DataFrame, keys: list[str], value: str, order: str) ->
 
 
 def median_team(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of a tracked player's team numbers, rounded down."""
-    return samples.groupBy(*keys).agg(F.floor(F.percentile("team", 0.5)).cast("int").alias("team"))
+    """Median of a tracked player's team numbers, rounded down; samples without a team do not count, and without any it is 1."""
+    known = F.when(F.col("team") != 0, F.col("team"))
+    return samples.groupBy(*keys).agg(F.coalesce(F.floor(F.percentile(known, 0.5)).cast("int"), F.lit(1)).alias("team"))
+
+
+def facing_line(own: DataFrame, players: DataFrame, keys: list[str], order: str = "frame", deepest: int = 4) -> DataFrame:
+    """line_x of the opponents that a tracked player faces in each frame: keys, frame, x, line_x, where both are known.
+
+    own: keys, frame, x of the player; players: keys, frame, team, x of all, of which those of the other
+    team than the player's median team count. The line is the mean of the opponents with the smallest x,
+    where the player stands before the mean of all opponents, and of those with the largest x otherwise.
+    """
+    opponent = F.when(F.col("__team") == 1, 2).otherwise(1)
+    side = median_team(own, keys).withColumnRenamed("team", "__team")
+    met = players.join(side, keys).where((F.col("team") == opponent) & F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
+    lines = met.groupBy(*keys, order).agg(F.sort_array(F.collect_list(F.col("x").cast("double"))).alias("__xs"))  # players of a frame
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    low, high = F.slice("__xs", 1, deepest), F.expr(f"slice(__xs, -least(size(__xs), {deepest}), {deepest})")
+    line = F.when(F.col("x") < mean(F.col("__xs")), mean(low)).otherwise(mean(high))
+    placed = own.where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
+    return placed.join(lines, [*keys, order]).select(*keys, order, "x", line.alias("line_x"))
 
 
 def attack_direction(positions: DataFrame, keys: list[str]) -> DataFrame:

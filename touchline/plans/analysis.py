@@ -379,32 +379,43 @@ def scores_of_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select session_id, cast(count(*) filter (team = 1) as double) * 100 / count(*) as team1_pct, cast(count(*) filter (team = 2) as double) * 100 / count(*) as team2_pct,
-       cast(count(*) filter (team = 0) as double) * 100 / count(*) as neutral_pct, count(*) filter (team = 1) / 25 as team1_seconds,
-       count(*) filter (team = 2) / 25 as team2_seconds, count(*) filter (team = 0) / 25 as neutral_seconds from tracks group by all""")
+select session_id, round(count(*) filter (team = 1) * 100.0::double / count(*), 1) as team1_pct, round(count(*) filter (team = 2) * 100.0::double / count(*), 1) as team2_pct,
+       round(count(*) filter (team = 0) * 100.0::double / count(*), 1) as neutral_pct, coalesce(max(case when team = 1 and mx % 2 = 0 then '#' || mx end), '#3498db') as team1_color,
+       coalesce(max(case when team = 2 and mx % 2 = 0 then '#' || mx end), '#e74c3c') as team2_color,
+       round(count(*) filter (team = 1) / 25.0::double, 1) as team1_seconds, round(count(*) filter (team = 2) / 25.0::double, 1) as team2_seconds
+from tracks group by all""")
 def feature_possession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.FEATURES["possession"](tracks(spark, sf_dir), SESSION, 25.0)
+    """Result of the possession feature, colours being known to some teams."""
+    own = tracks(spark, sf_dir)
+    colours = own.where("mx % 2 = 0").select("session_id", "team", F.concat(F.lit("#"), F.col("mx")).alias("hex"))
+    return features.FEATURES["possession"](own, SESSION, 25.0, colours)
 
 
 @query("""
-, marked as (select *, frame - row_number() over (partition by session_id order by frame) as run from tracks where speed >= 40),
-found as (select session_id, max(frame) - min(frame) as d, max(speed) as peak from marked group by session_id, run having count(*) >= 2)
-select session_id, count(*) as sprint_count, round(avg(d), 4) as avg_duration_s, cast(max(d) as double) as max_duration_s, max(peak) as max_speed_kmh from found group by all""")
+, played as (select session_id, frame, case when mx % 10 = 0 then 0 else speed end as speed, my % 3 <> 0 as located from tracks),
+marked as (select *, frame - row_number() over (partition by session_id order by frame) as run from played where speed >= 25),
+found as (select session_id, (max(frame) - min(frame)) / 1.0::double as d from marked group by session_id, run having count(*) >= 2 and count(*) filter (located) >= 2)
+select p.session_id, coalesce(any_value(n), 0) as sprint_count, coalesce(any_value(a), 0) as avg_duration_s, coalesce(any_value(m), 0) as max_duration_s, round(max(speed), 1) as max_speed_kmh
+from played p left join (select session_id, count(*) as n, round(avg(d), 2) as a, round(max(d), 2) as m from found group by all) using (session_id) group by p.session_id""")
 def feature_sprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features.FEATURES["sprint_analysis"](tracks(spark, sf_dir), SESSION, 1.0, 40.0, 2.0)
-    return found.withColumn("avg_duration_s", F.round("avg_duration_s", 4))
+    """Result of the sprint feature: frames without a match have no speed, some have no position, and sessions no sprint."""
+    samples = tracks(spark, sf_dir).withColumn("speed", F.when(F.col("mx") % 10 == 0, F.lit(None)).otherwise(F.col("speed")))
+    return features.FEATURES["sprint_analysis"](samples, SESSION, 1.0, 25.0, 2.0, F.col("my") % 3 != 0)
 
 
 @query("""
-, own as (select session_id, frame, x, 6000 as line_x from pitch where track_id = 3),
-beyond as (select *, frame - row_number() over (partition by session_id order by frame) as run from own where x > line_x),
+, own as (select session_id, frame, x, team from pitch where track_id = 3),
+sides as (select session_id, coalesce(cast(floor(quantile_cont(team, 0.5) filter (team <> 0)) as integer), 1) as tracked_team from own group by all),
+xs as (select p.session_id, p.frame, list_sort(list(p.x::double)) as v from pitch p join sides using (session_id)
+       where p.team = case when tracked_team = 1 then 2 else 1 end group by all),
+lines as (select o.session_id, o.frame, o.x, case when o.x < list_avg(v) then list_avg(v[1:4]) else list_avg(v[-4:]) end as line_x from own o join xs using (session_id, frame)),
+beyond as (select *, frame - row_number() over (partition by session_id order by frame) as run from lines where x > line_x),
 events as (select session_id from beyond group by session_id, run having count(*) >= 3)
-select session_id, cast(floor(quantile_cont(team, 0.5)) as integer) as tracked_team, coalesce(max(n), 0) as penetration_count, case when floor(quantile_cont(team, 0.5)) = 1 then 2 else 1 end as opponent_team
-from pitch left join (select session_id, count(*) as n from events group by all) using (session_id) where track_id = 3 group by all""")
+select session_id, tracked_team, (select count(*) from events e where e.session_id = s.session_id) as penetration_count, case when tracked_team = 1 then 2 else 1 end as opponent_team from sides s""")
 def feature_defensive_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pitch(spark, sf_dir).where("track_id = 3")
-    line = own.select(*FRAME, F.lit(6000).alias("line_x"))
-    return features.FEATURES["defensive_line"](play.penetrations(own, line, SESSION), own, SESSION)
+    """Result of the defensive line feature: the line of the opponents that the tracked player faces in each frame."""
+    players = pitch(spark, sf_dir)
+    return features.FEATURES["defensive_line"](players.where("track_id = 3"), players, SESSION)
 
 
 @query("""
@@ -446,11 +457,11 @@ def drawn_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, w as (select session_id, total_frames, least(total_frames // 3, 40) as start_frame, least(total_frames, 60) as n from totals)
+, w as (select session_id, total_frames // 3 as start_frame, total_frames as n from totals)
 select session_id, cast(row_number() over (partition by session_id order by back, case when back = 0 then f else -f end) - 1 as integer) as step, cast(f as integer) as frame
 from (select session_id, unnest(range(start_frame, n)) as f, 0 as back from w union all select session_id, unnest(range(0, start_frame)), 1 from w)""")
 def propagation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = totals(spark, sf_dir).select("session_id", F.least(F.floor(F.col("total_frames") / 3).cast("int"), F.lit(40)).alias("start_frame"), F.least("total_frames", F.lit(60)).alias("total_frames"))
+    runs = totals(spark, sf_dir).select("session_id", F.floor(F.col("total_frames") / 3).cast("int").alias("start_frame"), "total_frames")
     return targets.propagation_order(runs).select("session_id", "step", "frame")
 
 
@@ -475,10 +486,34 @@ def joined_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("session_id", (F.row_number().over(series.ordered(SESSION, "frame")) - 1).alias("position"), "frame", "team")
 
 
-@query("select id, ntile(4) over (order by id) as part from (select id from sessions where id <= 400)")
+@query("select id, ntile(4) over (order by id) as part from sessions")
 def label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short list split into four equal parts."""
-    return sessions(spark, sf_dir).where("id <= 400").select("id", F.ntile(4).over(Window.orderBy("id")).alias("part"))
+    """The list of all sessions split into four parts of consecutive ids, as equal as can be."""
+    return exports.equal_parts(sessions(spark, sf_dir).select("id"), "id", 4)
+
+
+@query("""
+, s as (select session_id, frame, speed, cast(sum(mx) over (partition by session_id order by frame) / 100.0::double as double) as distance from tracks)
+select g.session_id, g.start_frame, replace(g.type, '_', ' ') as name, coalesce(max(distance) - min(distance), 0) as distance_m,
+       round(avg(case when speed between 0.5 and 34 then speed end), 6) as avg_speed_kmh, max(case when speed between 0.5 and 34 then speed end) as max_speed_kmh
+from segments g left join s on s.session_id = g.session_id and s.frame >= g.start_frame and s.frame < g.end_frame group by g.session_id, g.start_frame, g.type""")
+def period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance, mean and largest speed of each period, as the dashboard shows them."""
+    upto = series.ordered(SESSION, "frame").rowsBetween(Window.unboundedPreceding, 0)
+    samples = tracks(spark, sf_dir).withColumn("distance", F.sum("mx").over(upto) / 100.0)
+    found = features.period_series(samples, segments(spark, sf_dir), SESSION)
+    return found.withColumn("avg_speed_kmh", F.round("avg_speed_kmh", 6))
+
+
+@query("""
+, v as (select session_id, total_frames * 50 as n from totals),
+r as (select *, least(1.0::double, 60.0::double / greatest(n / 25.0::double, 1.0::double)) as rate from v),
+t as (select *, unnest(range(0, least(60, greatest(1, cast(round(n / 25.0::double * rate) as integer))))) as nth from r)
+select session_id, cast(nth as integer) as nth, cast(least(floor(nth / rate * 25.0::double + 0.5), n - 1) as integer) as frame from t""")
+def summary_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that a summary looks at, of videos fifty times as long."""
+    videos = totals(spark, sf_dir).withColumn("total_frames", F.col("total_frames") * 50)
+    return features.sampled_frames(videos, SESSION, 25.0)
 
 
 @query("""
@@ -604,10 +639,10 @@ def train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.train_window(tracks(spark, sf_dir).select(*FRAME), SESSION, 8, draw, back)
 
 
-@query("select id, user_id from sessions where id <= 40")
+@query("select id, user_id from sessions")
 def known_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that the store does not know are dropped without complaint."""
-    odd = sessions(spark, sf_dir).where("id <= 40").withColumn("unknown", F.lit(1)).select("id", "user_id", "unknown")
+    odd = sessions(spark, sf_dir).withColumn("unknown", F.lit(1)).select("id", "user_id", "unknown")
     return jobs.only_columns(odd, ["id", "user_id", "status", "progress"])
 
 

@@ -84,11 +84,11 @@ def sprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     RUNS_SQL
-    + """select session_id, count(*) as sprint_count, avg(duration_s) as avg_duration_s, max(duration_s) as max_duration_s, max(peak_speed) as max_speed_kmh
-from found group by session_id"""
+    + """select t.session_id, count(f.start) as sprint_count, coalesce(avg(duration_s), 0) as avg_duration_s, coalesce(max(duration_s), 0) as max_duration_s, any_value(top) as max_speed_kmh
+from (select session_id, max(speed) as top from tracks group by session_id) t left join found f using (session_id) group by t.session_id"""
 )
 def sprint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return play.sprint_stats(sprint_runs(spark, sf_dir), SESSION)
+    return play.sprint_stats(tracks(spark, sf_dir), sprint_runs(spark, sf_dir), SESSION)
 
 
 GAPS_SQL = """
