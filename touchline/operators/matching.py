@@ -11,14 +11,36 @@ MATCH_RADIUS = 150.0
 
 
 def in_ranges(frames: DataFrame, ranges: DataFrame, keys: list[str], order: str = "frame", start: str = "start_frame", end: str = "end_frame") -> DataFrame:
-    """frames with the columns of the first range by start that holds them, start <= frame < end; others drop out.
+    """frames with the columns of the range that holds them, start <= frame < end; others drop out.
 
-    Ranges of one key must not overlap for a frame to come once; they join on the key, so
-    only a session's own ranges are compared.
+    Ranges of one key must not overlap for a frame to come once, and should be few, as they join on the key
+    alone; first_range() is for many, or overlapping ones.
     """
     return frames.join(ranges, keys).where((F.col(order) >= F.col(start)) & (F.col(order) < F.col(end)))
 
 
+def first_range(frames: DataFrame, ranges: DataFrame, keys: list[str], order: str = "frame", start: str = "start_frame", end: str = "end_frame") -> DataFrame:
+    """frames with the columns of the first range (by start, then end) that holds them, start <= frame < end; others drop out.
+
+    A join on bins: a range of length L lies in at most two bins of the power of two from L on, and
+    a frame in one bin of each such width that occurs (64 at most), so neither many ranges of a key nor long
+    ones multiply by its frames. Equal rows of frames all come; empty ranges hold nothing, nor do ranges with nulls.
+    """
+    length = F.col(end) - F.col(start)
+    sized = ranges.where(length > 0).withColumn("__width", F.expr(f"shiftleft(1L, length(trim(leading '0' from bin(`{end}` - `{start}` - 1))))"))
+    widths = [r["__width"] for r in sized.select("__width").distinct().collect()]  # powers of two, 64 at most
+    low, high = F.floor(F.col(start) / F.col("__width")), F.floor((F.col(end) - 1) / F.col("__width"))
+    binned = sized.withColumn("__bin", F.explode(F.sequence(low, high)))
+    rest = [c for c in ranges.columns if c not in keys]
+    binned = binned.select(*keys, "__width", "__bin", F.struct(start, end, *(c for c in rest if c not in (start, end))).alias("__range"))
+    spots = frames.select(*keys, order).distinct()
+    spots = spots.withColumn("__width", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<bigint>")))
+    spots = spots.withColumn("__bin", F.floor(F.col(order) / F.col("__width")))
+    met = spots.join(binned, [*keys, "__width", "__bin"]).where((F.col(order) >= F.col(f"__range.{start}")) & (F.col(order) < F.col(f"__range.{end}")))
+    best = met.groupBy(*keys, order).agg(F.min("__range").alias("__range"))
+    return frames.join(best, [*keys, order]).select(*frames.columns, *(F.col(f"__range.{c}").alias(c) for c in rest))
+
+
 def bracket(frames: DataFrame, samples: DataFrame, keys: list[str], columns: list[str], order: str = "frame") -> DataFrame:
     """frames with the latest sample at or before each and the next one after it.
 

@@ -183,11 +183,16 @@ def kalman_paths(boxes: np.ndarray, position: float = 1 / 20, velocity: float =
     Missing boxes are NaN. Constant velocity with noise in proportion to the height, as in
     SORT-type trackers. All series take a step at once.
     """
+    return filter_boxes(boxes, None, position, velocity)[:2]
+
+
+def filter_boxes(boxes: np.ndarray, state: tuple | None = None, position: float = 1 / 20, velocity: float = 1 / 160) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """kalman_paths() from a state (means, covariances, whether a box has been seen) on, and the state after it."""
     n, frames, _ = boxes.shape
     move = np.eye(8)
     move[:4, 4:] = np.eye(4)
     out, gate = np.full((n, frames, 4), np.nan), np.full((n, frames), np.nan)
-    mean, cov, live = np.zeros((n, 8)), np.zeros((n, 8, 8)), np.zeros(n, bool)
+    mean, cov, live = (x.copy() for x in state) if state else (np.zeros((n, 8)), np.zeros((n, 8, 8)), np.zeros(n, bool))
     diagonal = np.arange(8)
 
     def spread(h: np.ndarray, at: float, of: float, aspect: float, turn: float) -> np.ndarray:
@@ -222,15 +227,42 @@ def kalman_paths(boxes: np.ndarray, position: float = 1 / 20, velocity: float =
             cov[new[:, None], diagonal, diagonal] = first
             gate[new, i], live[new] = 0.0, True
         out[live, i] = mean[live, :4]
-    return out, gate
+    return out, gate, (mean, cov, live)
+
+
+class KalmanSeries:
+    """kalman_paths() of one series, a part of its frames at a time; frame, mean and cov are all it remembers."""
+
+    def __init__(self):
+        self.frame, self.mean, self.cov = -1, np.zeros(0), np.zeros((0, 0))
+
+    @property
+    def live(self) -> bool:
+        """Whether a box has been seen."""
+        return len(self.mean) > 0
+
+    def follow(self, frames: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filtered boxes and distances at ascending frames after the last one; frames between them are steps without a box."""
+        path, gate = np.full((len(frames), 4), np.nan), np.full(len(frames), np.nan)
+        for i, (frame, box) in enumerate(zip(frames, boxes, strict=True)):
+            steps = frame - self.frame if self.frame >= 0 else 1
+            dense = np.full((1, steps, 4), np.nan)
+            dense[0, -1] = box
+            state = (self.mean[None], self.cov[None], np.ones(1, bool)) if self.live else None
+            found, gates, (mean, cov, live) = filter_boxes(dense, state)
+            if live[0]:
+                self.mean, self.cov = mean[0], cov[0]
+            path[i], gate[i], self.frame = found[0, -1], gates[0, -1], frame
+        return path, gate
 
 
-def kalman_track(measures: DataFrame, keys: list[str], groups: int = 64) -> DataFrame:
+def kalman_track(measures: DataFrame, keys: list[str], group_rows: int = 1 << 18) -> DataFrame:
     """keys, frame, cx, cy, aspect, h filtered, gate, for dense series of measures with nulls where there is none.
 
-    Series are dealt by hash into groups, and those of a group of like length filtered together,
-    a bounded number of boxes at once.
+    Series are dealt by hash into groups of about group_rows rows, as many as the rows ask for, and those
+    of a group of like length filtered together, a bounded number of boxes at once.
     """
+    groups = max(int(measures.sparkSession.conf.get("spark.sql.shuffle.partitions")), measures.count() // group_rows)
     columns = ["cx", "cy", "aspect", "h"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

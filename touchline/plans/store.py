@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions import geometry, text
 from touchline.operators import jobs, masks, series
 from touchline.plans.inputs import NOW, Registry, sessions, table, tasks, tracks
+from touchline.sources import changes
 from touchline.sources.folders import shared_folder
 from touchline.streaming import windows
 
@@ -242,9 +243,11 @@ def carried_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("at", F.format_string("%020d-%020d", micros, F.col("at.event_id")))
     chunk = F.when(micros_of(F.col("at")) < low, 0).when(micros_of(F.col("at")) < high, 1).otherwise(2)
     folder = f"{shared_folder(spark)}/touchline/carried-{uuid.uuid4().hex}"
-    windows.write_in_turn([rows.where(chunk == k) for k in range(3)], f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
-    windows.carried_switches(stream, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+
+    def stream():
+        return windows.carried_switches(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/turn=*"), f"{folder}/checkpoint", f"{folder}/out")
+
+    windows.in_turns([rows.where(chunk == k) for k in range(3)], f"{folder}/in", stream)
     return windows.latest_batch(spark, f"{folder}/out", "session_id")
 
 
@@ -255,12 +258,16 @@ def micros_of(at):
 
 @query("select session_id, line, part, status from tasks where session_id = 33")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of one session's tasks, as they arrive in a folder."""
+    """Changes of one session's tasks, from the change source, as they arrive."""
     folder = f"{shared_folder(spark)}/touchline/changes-{uuid.uuid4().hex}"
     rows = tasks(spark, sf_dir).select("session_id", "line", "part", "status")
-    windows.write_in_turn([rows.where("line % 2 = 0"), rows.where("line % 2 = 1")], f"{folder}/in")
-    feed = windows.read_changes(spark, f"{folder}/in/part=*", rows.schema, "session_id", 33, files_each=1)
-    windows.copy_stream(feed, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    changes.register(spark)
+    feed = spark.readStream.format(changes.NAME).schema(rows.schema).options(path=f"{folder}/in", key="session_id", value="33")
+
+    def stream():
+        return windows.copy_stream(feed.load(), f"{folder}/checkpoint", f"{folder}/out")
+
+    windows.in_turns([rows.where("line % 2 = 0"), rows.where("line % 2 = 1")], f"{folder}/in", stream)
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
@@ -271,7 +278,10 @@ def snapshot_then_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest tasks from a snapshot of the first lines and a stream of those that came after."""
     folder = f"{shared_folder(spark)}/touchline/tail-{uuid.uuid4().hex}"
     rows = tasks(spark, sf_dir).select("session_id", "task_type", "line", "part", "status")
-    windows.write_in_turn([rows.where("line = 3"), rows.where("line > 3")], f"{folder}/in")
-    tail = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
-    windows.copy_stream(tail, f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+
+    def stream():
+        tail = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/turn=*")
+        return windows.copy_stream(tail, f"{folder}/checkpoint", f"{folder}/out")
+
+    windows.in_turns([rows.where("line = 3"), rows.where("line > 3")], f"{folder}/in", stream)
     return windows.snapshot_then_tail(rows.where("line < 3"), spark.read.schema(rows.schema).parquet(f"{folder}/out"), ["session_id", "task_type"], [F.desc("line")])

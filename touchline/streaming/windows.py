@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +38,16 @@ def control_totals(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("session_id", "team").agg(F.sum("frames").alias("frames"))
 
 
-def write_in_turn(chunks: list[DataFrame], folder: str) -> None:
-    """Chunks as one Parquet file each, in order, as a source that arrives piece by piece."""
+def in_turns(chunks: list[DataFrame], folder: str, stream: Callable[[], StreamingQuery] | None = None) -> None:
+    """Chunks written one after another as folders ``turn=0``, ``turn=1`` and so on, each by as many tasks as it has partitions.
+
+    stream: starts a query on the folder, which is run to its end after every turn; with one
+    checkpoint it goes on where it stopped, so a turn is one batch and state is carried on.
+    """
     for number, chunk in enumerate(chunks):
-        chunk.coalesce(1).write.parquet(f"{folder}/part={number}")
+        chunk.write.parquet(f"{folder}/turn={number}")
+        if stream:
+            stream().awaitTermination()
 
 
 def carried_switches(control: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
