@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +88,39 @@ def heat(histogram: DataFrame, keys: list[str]) -> DataFrame:
     return spread.select(*keys, *cell, (F.col("n") * F.col("w") / 16.0).alias("part")).groupBy(*keys, "cell_x", "cell_y").agg(F.sum("part").alias("density"))
 
 
+def gaussian(width: int, sigma: float | None = None) -> list[float]:
+    """Weights of a one-dimensional kernel of an odd width; without sigma, the one that image libraries take for the width."""
+    sigma = sigma or 0.3 * ((width - 1) * 0.5 - 1) + 0.8
+    raw = [math.exp(-((i - width // 2) ** 2) / (2 * sigma * sigma)) for i in range(width)]
+    return [w / sum(raw) for w in raw]
+
+
+def smooth_heat(histogram: DataFrame, keys: list[str], width: int = 101, sigma: float | None = None) -> DataFrame:
+    """Cells of a histogram (cell_x, cell_y, n) smoothed by a Gaussian: one pass along x, whose sums are added up, then one along y.
+
+    A cell spreads to 2 * width others instead of width squared; no grid is made, so the pitch may be of any size.
+    """
+    weights = F.array(*(F.struct(F.lit(i - width // 2).alias("__by"), F.lit(w).alias("__w")) for i, w in enumerate(gaussian(width, sigma))))
+    found = histogram.select(*keys, "cell_x", "cell_y", F.col("n").cast("double").alias("density"))
+    for axis in ("cell_x", "cell_y"):
+        other = "cell_y" if axis == "cell_x" else "cell_x"
+        spread = found.select(*keys, axis, other, "density", F.inline(weights))
+        moved = spread.select(*keys, (F.col(axis) + F.col("__by")).alias(axis), other, (F.col("density") * F.col("__w")).alias("part"))
+        found = moved.groupBy(*keys, "cell_x", "cell_y").agg(F.sum("part").alias("density"))
+    return found
+
+
+def radial_heat(positions: DataFrame, keys: list[str], cell: float, radius: int, alpha: float = 0.18) -> DataFrame:
+    """Opacity of the cells around positions (x, y): dots that fade from alpha to nothing over ``radius`` cells, laid over each other: 1 - prod(1 - a)."""
+    near = [(i, j, alpha * (1 - math.hypot(i, j) / radius)) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if math.hypot(i, j) < radius]
+    dots = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(math.log1p(-a)).alias("clear")) for i, j, a in near))
+    counted = play.heat_histogram(positions, keys, cell)
+    spread = counted.select(*keys, "cell_x", "cell_y", "n", F.inline(dots))
+    at = [(F.col("cell_x") + F.col("dx")).alias("cell_x"), (F.col("cell_y") + F.col("dy")).alias("cell_y")]
+    found = spread.select(*keys, *at, (F.col("n") * F.col("clear")).alias("clear")).groupBy(*keys, "cell_x", "cell_y")
+    return found.agg((1 - F.exp(F.sum("clear"))).alias("opacity"))
+
+
 def thirds_share(counts: DataFrame) -> DataFrame:
     """Counts of the thirds as percentages of their sum; 0 without any."""
     total = F.col("defensive") + F.col("middle") + F.col("attacking")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,141 @@ def point_grid(spark, n: int) -> DataFrame:
 def decode_runs(counts: Column) -> Column:
     """A run-length encoded mask as text of 0 and 1; runs start with 0."""
     return F.array_join(F.transform(counts, lambda n, i: F.repeat(F.when(i % 2 == 1, "1").otherwise("0"), n.cast("int"))), "")
+
+
+def label_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Component of each run of pixels (row, first and last column, sorted by row and column): the smallest index of its runs.
+
+    Two passes: runs that touch one of the row above, also at a corner, are united; then every run takes its root.
+    """
+    root = np.arange(len(row))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    starts = np.searchsorted(row, np.unique(row))
+    ends = np.append(starts[1:], len(row))
+    for k in range(1, len(starts)):
+        i, j = starts[k - 1], starts[k]
+        if row[i] + 1 != row[j]:
+            continue
+        while i < ends[k - 1] and j < ends[k]:
+            if first[i] <= last[j] + 1 and first[j] <= last[i] + 1:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if last[i] < last[j]:
+                i += 1
+            else:
+                j += 1
+    return np.array([find(i) for i in range(len(row))], np.int64)
+
+
+def _join_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs sorted, with those that touch or overlap in a row made one."""
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    reach = np.maximum.accumulate(last + row * (1 << 32)) - row * (1 << 32) if len(row) else last
+    opens = np.ones(len(row), bool)
+    opens[1:] = (row[1:] != row[:-1]) | (first[1:] > reach[:-1] + 1)
+    at = np.nonzero(opens)[0]
+    return row[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
+
+
+def _holes(row: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the pixels of an image that are in no run."""
+    rows, starts, ends = [np.arange(height)], [np.zeros(height, np.int64)], [np.full(height, width - 1)]
+    if len(row):
+        starts = [np.append(starts[0], last + 1)]
+        rows = [np.append(rows[0], row)]
+        order = np.lexsort((starts[0], rows[0]))
+        rows, starts = rows[0][order], starts[0][order]
+        opens = np.append(first, np.full(height, width))
+        owner = np.append(row, np.arange(height))
+        ends = opens[np.lexsort((opens, owner))] - 1
+    else:
+        rows, starts, ends = rows[0], starts[0], ends[0]
+    some = ends >= starts
+    return rows[some], starts[some], ends[some]
+
+
+RUN = ["row", "first", "last"]
+
+
+def _masks(runs: DataFrame, keys: list[str], work, more: str) -> DataFrame:
+    """work(row, first, last), on joined runs, for each mask; its columns besides the runs' follow ``more``."""
+
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(work(*_join_runs(*(frame[c].to_numpy(np.int64) for c in RUN))))
+        for i, k in enumerate(keys):
+            found.insert(i, k, frame[k].iloc[0])
+        return found
+
+    kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
+    return runs.groupBy(*keys).applyInPandas(each, f"{kinds}, row long, first long, last long{more}")
+
+
+def components(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """row, first, last and component of the joined runs of each mask; a component is numbered by its first run. Diagonal neighbours touch.
+
+    runs: keys, row, first, last column. The runs of one mask are one group, which its image bounds.
+    """
+
+    def work(row, first, last):
+        return {"row": row, "first": first, "last": last, "component": label_runs(row, first, last)}
+
+    return _masks(runs, keys, work, ", component long")
+
+
+def component_boxes(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Area and box of each component."""
+    area = F.sum(F.col("last") - F.col("first") + 1)
+    box = [F.min("first").alias("x1"), F.min("row").alias("y1"), F.max("last").alias("x2"), F.max("row").alias("y2")]
+    return labelled.groupBy(*keys, "component").agg(area.alias("area"), *box)
+
+
+def without_small(runs: DataFrame, keys: list[str], most: int, width: int, height: int) -> DataFrame:
+    """Runs of masks in which holes of fewer than ``most`` pixels are filled and then islands of fewer go, and whether a mask changed.
+
+    The largest island stays where all are small. A mask without pixels has no rows.
+    """
+
+    def work(row, first, last):
+        gaps = _holes(row, first, last, width, height)
+        area = np.zeros(len(gaps[0]), np.int64)
+        named = label_runs(*gaps)
+        np.add.at(area, named, gaps[2] - gaps[1] + 1)
+        small = area[named] < most if len(named) else np.zeros(0, bool)
+        filled = _join_runs(*(np.append(own, gap[small]) for own, gap in zip((row, first, last), gaps, strict=True)))
+        named, area = label_runs(*filled), np.zeros(len(filled[0]), np.int64)
+        np.add.at(area, named, filled[2] - filled[1] + 1)
+        keep = area[named] >= most
+        if not keep.any():
+            keep = named == area.argmax()
+        changed = bool(small.any() or not keep.all())
+        kept = [c[keep] for c in filled]
+        return {"row": kept[0], "first": kept[1], "last": kept[2], "changed": np.full(len(kept[0]), changed)}
+
+    return _masks(runs, keys, work, ", changed boolean")
+
+
+def cleaned_boxes(runs: DataFrame, frame: list[str], mask: str, most: int, width: int, height: int, threshold: float = 0.7) -> DataFrame:
+    """Boxes of the masks of each frame without small regions, of overlapping ones the better: a mask that did not change before one that did, then the first by number.
+
+    Columns: frame's, box_id (the mask), x1, y1, x2, y2, score (1 unchanged, 0 changed).
+    """
+    kept = without_small(runs, [*frame, mask], most, width, height)
+    box = [F.min("first").alias("x1"), F.min("row").alias("y1"), F.max("last").alias("x2"), F.max("row").alias("y2")]
+    boxes = kept.groupBy(*frame, F.col(mask).alias("box_id")).agg(*box, F.min(F.when(F.col("changed"), 0.0).otherwise(1.0)).alias("score"))
+    return suppress(boxes, frame, threshold)
+
+
+def layered_grid(images: DataFrame, keys: list[str], n: int, layers: int, scale: int) -> DataFrame:
+    """layer, x, y of prompt points in each image (width, height): cell centres of a grid of n // scale ** layer a side, in pixels."""
+    sides = F.array(*(F.struct(F.lit(i).alias("layer"), F.lit(n // scale**i).alias("side")) for i in range(layers + 1) if n // scale**i))
+    dealt = images.select(*keys, "width", "height", F.inline(sides))
+    cells = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    x, y = (F.col("i") + 0.5) / F.col("side") * F.col("width"), (F.col("j") + 0.5) / F.col("side") * F.col("height")
+    return cells.select(*keys, "layer", x.alias("x"), y.alias("y"))

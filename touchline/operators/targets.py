@@ -10,9 +10,9 @@ from touchline.operators.series import densify, fill_linear, ordered, rolling
 STILL, PAN = 5.0, 15.0  # pixels: below the first the camera stands, above the second it pans
 
 
-def read_boxes(spark: SparkSession, path: str, **options) -> DataFrame:
-    """parse_boxes() of the lines of text files."""
-    return parse_boxes(spark.read.text(path), [], **options)
+def read_boxes(spark: SparkSession, path: str, keys: list[str], **options) -> DataFrame:
+    """parse_boxes() of the lines of text files; keys are the names of their folders (name=value)."""
+    return parse_boxes(spark.read.text(path), keys, **options)
 
 
 def parse_boxes(lines: DataFrame, keys: list[str], start: Column | None = None, step: int = 10, scale: float = 1.0, line: str = "value") -> DataFrame:

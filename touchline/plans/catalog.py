@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import analysis, live, store, tracking
+from touchline.plans import analysis, live, store, tracking, upkeep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return tracking.registry.queries | store.registry.queries | analysis.registry.queries | live.registry.queries
+    return tracking.registry.queries | store.registry.queries | analysis.registry.queries | live.registry.queries | upkeep.registry.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return tracking.registry.sql | store.registry.sql | analysis.registry.sql | live.registry.sql
+    return tracking.registry.sql | store.registry.sql | analysis.registry.sql | live.registry.sql | upkeep.registry.sql
