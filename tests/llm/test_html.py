@@ -64,6 +64,42 @@ def test_the_cut_labels_better_than_the_signs_of_the_costs():
     assert right["cut"] == total > right["sign"]
 
 
+STORY = [
+    "The first paragraph of the story tells of a long day at the harbour, and of the rain that came with it that night.",
+    "He said so twice; nobody else, not even the captain, had an answer to that, and so they all went home in silence.",
+    "What came of it was told in many letters, all of them long, most of them lost before the year was over, sadly.",
+    "In the old town there stood a mill, a large one, which nobody had used for as long as people could think back.",
+    "But on that morning, so they say, its wheel turned: slowly at first, then faster, and in the end with a roar.",
+]
+WRAPPERS = [
+    '<div class="post-with-sidebar">', '<div class="layout-sidebar-left">', '<div class="site header-fixed">', '<article id="review-123">',
+    '<div class="single-review">', '<main class="social-science">', '<div class="warning-systems-article">',
+    '<section aria-label="History of search engines">', '<form id="page">', '<div class="comments-open">', "<div>", '<article class="post">',
+]
+COMMENT = "<div><div>user{i}</div><div>Great post, thank you for it, dear author of this page, number {i}.</div><div><a href=#r{i}>Reply</a></div></div>"
+AFTER = [
+    "",
+    "<div>" + "".join(COMMENT.format(i=i) for i in range(4)) + "</div><div>We use cookies to make this site better, and more useful. <a href=/c>Accept</a></div>",
+    '<div id="comments"><p>Great post, thank you for it, dear author of this page.</p><p>I had another day at the harbour, with less rain.</p></div>',
+]
+
+
+def test_articles_in_wrappers_of_everyday_names():
+    """36 pages: every wrapper with nothing after it, with reader comments and a notice without names, and with named comments."""
+    body = "".join(f"<p>{t}</p>" for t in STORY)
+    for wrapper in WRAPPERS:
+        tag = wrapper[1:-1].split()[0]
+        for after in AFTER:
+            page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{wrapper}{body}</{tag}>{after}<footer>Copyright 2024, all of it.</footer></body></html>"
+            assert html.main_text(page) == " ".join(STORY), (wrapper, after)
+
+
+def test_names_keep_their_weight_beside_an_article():
+    page = '<body><div class="x">' + "".join(f"<p>{t}</p>" for t in STORY) + '</div><div class="related"><p>Ten more mills that you will like, all of them by the sea.</p></div></body>'
+    assert html.main_text(page) == " ".join(STORY)
+    assert html.main_text('<body><div class="footer"><p>All of it, as it is, is ours, and stays so for all of time.</p></div></body>') == ""
+
+
 def test_deep_and_broken_pages_take_linear_time():
     import time
 

@@ -2,7 +2,10 @@
 
 A page is cut into blocks of text at block-level tags. A linear classifier over a block's
 ancestors, attributes, length, punctuation and share of links gives each block a cost for
-being called content or boilerplate. Squashed to log-odds of CERTAIN at most, these are its
+being called content or boilerplate. What the name of an element says counts the less, the less
+prose there is beside it, and not at all where it holds the main part: wrappers of whole articles
+have all kinds of names. Controls that come again and again mark comments and notices without
+names. Squashed to log-odds of CERTAIN at most, the costs are a block's
 capacities from source and to sink, so that they and the smoothness edges are of one scale.
 Neighbouring blocks, and blocks of the same parent, are joined by edges that make unequal
 labels cost the more the closer they are in the document tree. The minimum cut, found by
@@ -53,6 +56,12 @@ LIKELY = re.compile(r"^(?:article|body|content|entry|main|maincontent|post|story
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
+NAMED = -12.0  # what a listed name, a form or a header says of an element that holds little of the page
+OWN_NAME = -3.0  # the same of an article or main part
+HALF = 0.5  # prose beside an element, in parts of its own, from which on its name has its full weight
+PROSE = 400  # characters of prose from which on an element can do without it
+NOTICE = re.compile(r"\b(?:cookies?|consent|privacy policy|all rights reserved|newsletter)\b", re.IGNORECASE)
+CONTROL = 24  # characters of a link or button that stands alone, at most
 CERTAIN = 4.0  # log-odds that a block's own signs reach at most
 STRENGTH = 1.5  # log-odds that two blocks next to each other in one element share
 
@@ -64,6 +73,10 @@ class Block:
     depth: int
     shared: int  # how many open elements it has in common with the block before it
     score: float = 0.0  # positive: content
+    mark: int = 0  # the innermost element around it that says something of it by its name
+    prose: float = 0.0  # characters that are no links, of a block that reads like text
+    control: bool = False  # nothing but a short link
+    group: int = 0  # the element around its own parent
 
     @property
     def cost(self) -> float:
@@ -81,6 +94,17 @@ class Open:
     link: bool
     block: str  # the nearest block element
     near: int  # the nearest place of the stack, its own included, that may end by itself or bounds a search
+    mark: int = 0  # the innermost marked element
+
+
+@dataclass
+class Mark:
+    """An element whose name counts: the marked one around it, and what its name says before its share of the page is known."""
+
+    above: int
+    score: float
+    main: bool = False  # holds an article or main element
+    prose: float = 0.0
 
 
 def _attribute_score(tag: str, raw: str) -> tuple[float, bool]:
@@ -98,9 +122,11 @@ def _attribute_score(tag: str, raw: str) -> tuple[float, bool]:
                 if parts and parts[0] not in ("with", "has", "no", "is", "without"):
                     bad |= any(map(UNLIKELY.match, parts))
                     good |= all(map(LIKELY.match, parts))
-            score += 2 if good else -12 if bad else 0
+            if name == "aria-label" and len(value.split()) > 2:
+                continue  # a sentence, not a name
+            score += 2 if good else NAMED if bad else 0
         elif name == "role":
-            score += -12 if value in ROLES else 3 if value in ("main", "article") else 0
+            score += NAMED if value in ROLES else 3 if value in ("main", "article") else 0
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -110,10 +136,8 @@ def _attribute_score(tag: str, raw: str) -> tuple[float, bool]:
 
 def _tag_score(tag: str, inside: float) -> float:
     """inside: the score of the ancestors; a header within an article counts less than a page's header."""
-    if tag in ("nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"):
+    if tag in ("nav", "footer", "aside", "menu", "dialog", "search"):
         return -12
-    if tag == "header":
-        return -2 if inside >= 3 else -12
     if tag in ("article", "main"):
         return 5
     return 0
@@ -123,6 +147,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, with what the classifier makes of each; in time linear in the page."""
     found: list[Block] = []
     stack = [Open("#root", 0, 0.0, False, False, "body", 0)]
+    marks = [Mark(-1, 0.0)]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked, count, at, has_main, low = 0, 0, 0, False, 1
@@ -137,14 +162,18 @@ def blocks(page: str) -> list[Block]:
                 block = Block(text, top.number, len(stack), low)
                 low = len(stack)
                 share = min(1.0, linked / len(text))
-                marks = sum(text.count(c) for c in ".,;:!?")
+                stops = sum(text.count(c) for c in ".,;:!?")
+                block.mark, block.group = top.mark, stack[-2].number if len(stack) > 1 else 0
+                block.prose = len(text) * (1 - share) if stops and len(text) >= 40 and top.score > -6 and not NOTICE.search(text) else 0.0
+                block.control = share > 0.9 and len(text) <= CONTROL
                 block.score = (
                     top.score
                     + min(2.0, len(text) / 80)
-                    + min(1.0, marks / 3)
+                    + min(1.0, stops / 3)
                     - 5 * share
                     + (1 if top.block in ("p", "blockquote", "pre") else 0.5 if top.block in ("h1", "h2", "h3") else -1 if top.block == "li" else 0)
                     - 1.5
+                    - (2 if NOTICE.search(text) and len(text) < 300 else 0)
                 )
                 found.append(block)
         linked = 0
@@ -196,6 +225,18 @@ def blocks(page: str) -> list[Block]:
         score, hidden = _attribute_score(tag, m[3])
         own = _tag_score(tag, top.score)
         has_main |= own > 0
+        if tag in ("form", "fieldset") or tag == "header":
+            score += -2 if tag == "header" and top.score >= 3 else NAMED
+        if own > 0:
+            score = max(score, OWN_NAME)
+            k = top.mark
+            while k and not marks[k].main:
+                marks[k].main = True
+                k = marks[k].above
+        mark = top.mark
+        if score:
+            mark = len(marks)
+            marks.append(Mark(top.mark, score, own > 0))
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         gone = top.dropped or hidden or tag in DROPPED
@@ -204,15 +245,38 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         near = len(stack) if tag in CLOSED_BY_ITSELF or tag in SCOPES else top.near
-        stack.append(Open(tag, count, top.score + own + score, gone, top.link or tag == "a", tag if tag in BLOCK else top.block, near))
+        stack.append(Open(tag, count, top.score + own, gone, top.link or tag == "a", tag if tag in BLOCK else top.block, near, mark))
         open_tags[tag] += 1
     flush()
+    _weigh(found, marks)
     if has_main:  # where the page names its main part, what stands outside it is less likely
         for b in found:
             b.score -= 1.5
     return found
 
 
+def _weigh(found: list[Block], marks: list[Mark]) -> None:
+    """Add to the blocks' scores what the names around them say, and what controls beside them do."""
+    times = Counter(b.text.lower() for b in found if b.control)
+    beside = {n for b in found if b.control and times[b.text.lower()] > 1 for n in (b.parent, b.group)}
+    spread = Counter(b.parent for b in found) + Counter(b.group for b in found)
+    few = {n for n in beside if spread[n] <= 12}  # a comment or a card, not what holds all of them
+    for b in found:
+        if b.parent in few or b.group in few:
+            b.score, b.prose = b.score - 4, 0.0
+        marks[b.mark].prose += b.prose
+    own = [m.prose for m in marks]
+    for m in reversed(marks[1:]):
+        marks[m.above].prose += m.prose
+    told, out = [0.0] * len(marks), [0.0] * len(marks)
+    for k, m in enumerate(marks[1:], 1):
+        out[k] = out[m.above] + own[m.above]  # beside it, and in no other element of such a name
+        keeps = max(min(1.0, out[k] / (HALF * m.prose + 1)) ** 2, 1 - m.prose / PROSE)
+        told[k] = told[m.above] + (m.score if m.score >= OWN_NAME else 0.0 if m.main else m.score * keeps)
+    for b in found:
+        b.score += told[b.mark]
+
+
 def edges(found: list[Block], strength: float = STRENGTH) -> list[tuple[int, int, float]]:
     """Smoothness edges: each block with the next, the weaker the more elements lie between, and with the next of its own parent."""
     out, last = [], {}
