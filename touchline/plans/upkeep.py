@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import catalog as sql_functions
-from touchline.operators import features, masks, play, targets
+from touchline.operators import choice, features, masks, play, targets
 from touchline.plans.inputs import NOW, Registry, pitch, sessions, tasks, totals, tracks
 from touchline.sources import keyed
 from touchline.sources.folders import shared_folder
@@ -130,3 +130,36 @@ def bbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("track_id") % 11 == 0, F.concat_ws(",", "frame", F.lit(1), "mx")).otherwise(whole)
     tracks(spark, sf_dir).select("session_id", line.alias("value")).repartition("session_id").write.partitionBy("session_id").text(path)
     return targets.read_boxes(spark, path, SESSION, start=F.lit(100), step=10, scale=0.5).withColumn("session_id", F.col("session_id").cast("long"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidate masks of each player and frame: its box, one beside it and one that may be empty."""
+    own = pitch(spark, sf_dir).select("session_id", "track_id", "frame", (F.col("frame") * 3 + F.col("y") % 5).alias("px"), (F.col("x") % 7 + 100).alias("py"), "x", "y")
+    kinds = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(d).alias("by"), F.lit(f).alias("factor")) for i, (d, f) in enumerate(((0, 7919), (25, 104729), (60, 1299709)))))
+    each = own.select("*", F.inline(kinds))
+    score = (F.col("x").cast("long") * F.col("factor") + F.col("y")) % 100 / F.lit(100.0)
+    box = {"x1": F.col("px") + F.col("by"), "y1": F.col("py"), "x2": F.col("px") + F.col("by") + 20, "y2": F.col("py") + 50}
+    empty = (F.col("nth") == 2) & (F.col("y") % 3 == 0)
+    return each.select("session_id", "track_id", "frame", "nth", score.alias("score"), *(F.when(~empty, v).cast("double").alias(c) for c, v in box.items()))
+
+
+@query()
+def mask_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate mask of each player and frame by score and motion."""
+    return choice.choose_masks(_candidates(spark, sf_dir), ["session_id", "track_id"])
+
+
+@query("""
+, s as (select session_id, frame, x % 100 / 100.0::double as score, y % 10 - 3 as object, case when x % 3 = 0 then null else y % 7 - 1 end as motion from pitch where track_id = 3),
+good as (select session_id, frame from s where frame > 1 and score > 0.5 and object > 0 and (motion is null or motion > 0)),
+met as (
+  select s.session_id, s.frame, g.frame as memory from s join good g on g.session_id = s.session_id and g.frame < s.frame
+  union select session_id, frame, frame - 1 from s where frame > 0),
+ranked as (select *, row_number() over (partition by session_id, frame order by memory desc) as place from met)
+select session_id, frame, cast(place as integer) as place, memory from ranked where place <= 6""")
+def memory_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that are remembered at each frame of a player."""
+    scores = pitch(spark, sf_dir).where("track_id = 3").select(
+        *FRAME, (F.col("x") % 100 / F.lit(100.0)).alias("score"), (F.col("y") % 10 - 3).alias("object"), F.when(F.col("x") % 3 != 0, F.col("y") % 7 - 1).alias("motion")
+    )
+    return choice.memory_frames(scores, SESSION)
