@@ -72,3 +72,51 @@ def test_copies_do_not_decide_the_draw_and_names_may_clash(spark):
     assert model.langs == ["en", "fr"]
     found = language.identify(docs, model)
     assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and found.count() == len(rows)
+
+
+def test_probabilities_are_textbook_kneser_ney():
+    """Against interpolated Kneser-Ney written out over strings, for every character after every context."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    table = language.letter_table()
+    texts = {"x": "abracadabra arcade " * 3 + "cab dab", "y": "banana bandana cabana arc", "z": "abab ba b"}
+    counts = {}
+    for lang, text in texts.items():
+        codes, n = np.unique(language.grams(text, table), return_counts=True)
+        counts[lang] = codes, n
+    model = language.fit_counts(counts)
+    alphabet = {c for t in texts.values() for c in t + " "}
+
+    def textbook(lang):
+        padded = "   " + texts[lang] + " "
+        grams = {4: Counter(padded[i : i + 4] for i in range(len(padded) - 3))}
+        for order in (3, 2, 1):  # lower orders count the distinct characters in front
+            grams[order] = Counter(g[1:] for g in grams[order + 1])
+        discount = {}
+        for order, own in grams.items():
+            n1, n2 = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+            discount[order] = min(0.95, n1 / (n1 + 2 * n2)) if n1 and n2 else 0.75
+
+        def p(gram):
+            if not gram:
+                return 1 / (len(alphabet) + 1)
+            own, d = grams[len(gram)], discount[len(gram)]
+            after = [v for g, v in own.items() if g[:-1] == gram[:-1]]
+            if not after:
+                return p(gram[1:])
+            return max(own[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+        return p
+
+    rng = np.random.default_rng(2)
+    asked = {"".join(rng.choice(sorted(alphabet), 4)) for _ in range(200)} | {t[i : i + 4] for t in texts.values() for i in range(len(t) - 3)}
+    asked = sorted(asked)
+    codes = np.array([sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(g)) for g in asked], np.uint64)
+    found = model.look_up(codes)
+    for k, lang in enumerate(model.langs):
+        p = textbook(lang)
+        for g, value in zip(asked, found[:, k], strict=True):
+            assert math.isclose(math.exp(value), p(g), rel_tol=1e-9), (lang, g)

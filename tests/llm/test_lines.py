@@ -1,3 +1,4 @@
+import inspect
 import random
 
 from pyspark.sql import functions as F
@@ -76,3 +77,25 @@ def test_empty_table(spark):
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = documents(spark, ["a line that is long enough to count here"] * 2, ids=[1, 1])
     assert [r[0] for r in lines.dedup_lines(docs).select(F.col("lines.dropped")).collect()] in ([0, 0], [1, 1])
+
+
+def test_banding_finds_similar_lines():
+    """Of pairs at or little above the threshold, at least 0.9 share a band; most share one by far."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    first, second = [], []
+    while len(first) < 400:
+        own = [rng.choice(words) for _ in range(rng.randint(8, 40))]
+        other = list(own)
+        for _ in range(rng.randint(1, 2)):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        a, b = " ".join(own), " ".join(other)
+        x, y = ({t[i : i + 7] for i in range(len(t) - 6)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.86:
+            first.append(a)
+            second.append(b)
+    options = {"shingle": 7} | {k: v.default for k, v in inspect.signature(lines.dropped_lines).parameters.items() if k in ("bands", "rows")}
+    one, two = (lines.band_keys(some, options["shingle"], options["bands"], options["rows"]) for some in (first, second))
+    assert (one == two).any(axis=1).mean() >= 0.9
