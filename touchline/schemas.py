@@ -1,28 +1,7 @@
-"""Schemas of the tables that vision models hand over, and of the job store."""
+"""Fixed values of matches and pitches."""
 
 from __future__ import annotations
 
-BOX = "x1 double, y1 double, x2 double, y2 double"
-DETECTIONS = f"session_id string, frame int, cls string, conf double, {BOX}, color array<double>"
-TRACKS = (
-    f"session_id string, seg int, frame int, obj string, track_id long, {BOX}, px double, py double, ax double, ay double, "
-    "tx double, ty double, mx double, my double, speed double, speed_rejected double, distance double, team int, has_ball boolean, conf double"
-)
-TARGET = "session_id string, frame int, x double, y double, w double, h double"
-CAMERA = "session_id string, frame int, dx double, dy double"
-KEYPOINTS = "session_id string, frame int, kp_id int, x double, y double"
-CONTROL = "session_id string, frame int, team int"
-SEGMENTS = "session_id string, type string, start_frame int, end_frame int, start_sec double, end_sec double, duration_sec double"
-PERIODS = "session_id string, period_idx int, start_frame int, end_frame int"
-VIDEO_META = "session_id string, fps double, total_frames int, width int, height int"
-SESSIONS = (
-    "id string, user_id string, status string, progress int, stage string, error string, video_url string, "
-    "created_at timestamp, updated_at timestamp, extra string"
-)
-TASKS = (
-    "id string, session_id string, task_type string, status string, progress int, result string, url string, error string, created_at timestamp"
-)
-
 #: Segment types that count as play; the others are halftime, pre_match and post_match.
 MATCH_TYPES = ("first_half", "second_half", "match", "full_match")
 PITCH_LENGTH, PITCH_WIDTH = 120.0, 70.0  # metres
