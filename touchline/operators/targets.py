@@ -133,6 +133,19 @@ def train_window(frames: DataFrame, keys: list[str], size: int, draw: Column, ba
     return kept.withColumn("order", F.when(back, size - 1 - place).otherwise(place)).drop("__from")
 
 
+def train_objects(window: DataFrame, visible: DataFrame, keys: list[str], most: int, draw: Column) -> DataFrame:
+    """The rows of visible (keys, frame, obj) in a window (keys, frame, order) that belong to its chosen objects, with their order.
+
+    Chosen are at most ``most`` of the objects seen in the window's first frame by order, those of the smallest draw, then number;
+    a chosen object has no row where it is not seen. A window whose first frame shows none has no rows.
+    """
+    first = window.groupBy(*keys).agg(F.min_by("frame", "order").alias("frame"))
+    ranked = visible.join(first, [*keys, "frame"]).withColumn("__draw", draw)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__draw", "obj"))
+    chosen = ranked.withColumn("__place", place).where(F.col("__place") <= most).select(*keys, "obj")
+    return visible.join(window, [*keys, "frame"]).join(chosen, [*keys, "obj"]).select(*keys, "frame", "order", "obj")
+
+
 def repeated(rows: DataFrame, factor: Column, draw: Column) -> DataFrame:
     """Each row as often as its factor, the fraction as one more row where draw (0 to 1) is below it."""
     times = F.floor(factor) + (draw < factor - F.floor(factor)).cast("int")

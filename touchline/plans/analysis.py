@@ -11,7 +11,7 @@ from touchline.functions import geometry, text
 from touchline.operators import detections, exports, features, jobs, masks, play, scenes, series, targets
 from touchline.plans.inputs import NOW, Registry, pitch, segments, sessions, table, tasks, totals, tracks
 from touchline.schemas import MATCH_TYPES
-from touchline.sources.folders import shared_folder
+from touchline.sources.folders import cached, shared_folder
 
 registry = Registry()
 query = registry.query
@@ -59,9 +59,9 @@ def prompt_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select session_id, count(*) as frames, max(speed) as top from tracks group by session_id")
 def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysis table written as Parquet, which appears whole or not at all, and read again."""
-    path = f"{shared_folder(spark)}/touchline/analysis-{uuid.uuid4().hex}"
-    tracks(spark, sf_dir).write.mode("overwrite").parquet(path)
+    """The analysis table written as Parquet, which appears whole or not at all, and from then on read from its cache."""
+    name = "analysis-" + uuid.uuid5(uuid.NAMESPACE_URL, sf_dir).hex
+    path = cached(spark, name, lambda own: tracks(spark, sf_dir).write.parquet(own))
     return spark.read.parquet(path).groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.max("speed").alias("top"))
 
 
@@ -639,6 +639,24 @@ def train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.train_window(tracks(spark, sf_dir).select(*FRAME), SESSION, 8, draw, back)
 
 
+@query("""
+, seen as (select session_id, frame, track_id as obj from pitch where y % 3 <> 0),
+w as (select session_id, frame, case when session_id % 2 = 1 then 7 - (frame - 20) else frame - 20 end as "order"
+      from (select distinct session_id, frame from pitch) where frame >= 20 and frame < 28),
+firsts as (select session_id, arg_min(frame, "order") as frame from w group by all),
+chosen as (select session_id, obj from seen join firsts using (session_id, frame)
+           qualify row_number() over (partition by session_id order by obj * 7919 % 23, obj) <= 3)
+select session_id, frame, "order", obj from seen join w using (session_id, frame) join chosen using (session_id, obj)""")
+def train_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three drawn objects of those seen first in a window of eight frames to train on, every other window in reverse."""
+    own = pitch(spark, sf_dir)
+    frames = own.select(*FRAME).distinct().where("frame >= 20 and frame < 28")
+    place = F.col("frame") - 20
+    window = frames.withColumn("order", F.when(F.col("session_id") % 2 == 1, 7 - place).otherwise(place))
+    seen = own.where("y % 3 <> 0").select(*FRAME, F.col("track_id").alias("obj"))
+    return targets.train_objects(window, seen, SESSION, 3, F.col("obj") * 7919 % 23)
+
+
 @query("select id, user_id from sessions")
 def known_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that the store does not know are dropped without complaint."""
