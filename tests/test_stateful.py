@@ -154,7 +154,7 @@ def test_spline_sweep_matches_the_whole_system_and_is_linear():
 def test_kalman_groups_and_homographies_of_sessions(spark):
     rows = [(s, f, *((10.0 * f + s, 5.0 * f, 0.5, 100.0) if f % 3 or not f else (None,) * 4)) for s in range(7) for f in range(5 + 3 * s)]
     measures = spark.createDataFrame(rows, "session_id long, frame int, cx double, cy double, aspect double, h double")
-    found = {(r["session_id"], r["frame"]): r for r in stateful.kalman_track(measures, ["session_id"], groups=2).collect()}
+    found = {(r["session_id"], r["frame"]): r for r in stateful.kalman_track(measures, ["session_id"], group_rows=8).collect()}
     for s in range(7):
         boxes = np.array([r[2:] for r in rows if r[0] == s], float)
         path, _ = stateful.kalman_path(boxes)
