@@ -10,7 +10,6 @@ and packs what is left by best fit, largest first, into the room that is left an
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from touchline.llm.common import cut
 
 SUFFIX = ".,;:!?*%$#&|-()\"/"  # never letters, digits or apostrophes: the tokenizer splits before them
 CACHE_WORDS = 400_000
+TOGETHER = 1 << 18  # characters after which texts are no longer learnt together
 
 
 class WordEncoder:
@@ -39,7 +39,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.cache: dict[str, bytes] = {}
         self.special = [t for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, self.special)]))
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *self.special]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,19 +74,26 @@ class WordEncoder:
             self.cache[w] = self.cache[core] + self.cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        low = 0
+        while low < len(texts):
+            high, chars = low, 0
+            while high < len(texts) and chars < TOGETHER:
+                chars += len(texts[high])
+                high += 1
+            out += self.together(texts[low:high])
+            low = high
+        return out
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts, whose new words are learnt at once."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        out = []
-        for text in texts:
-            if self.odd.search(text):
-                out.append(self.whole(text))
-                continue
-            words = text.split()
-            missing = set(words).difference(self.cache)
-            if missing:
-                self.learn(missing)
-            out.append(b"".join(map(self.cache.__getitem__, words)))
-        return out
+        words = [None if any(x in text for x in self.odd) else text.split() for text in texts]
+        missing = set().union(*(some for some in words if some)).difference(self.cache)
+        if missing:
+            self.learn(missing)
+        return [self.whole(text) if some is None else b"".join(map(self.cache.__getitem__, some)) for text, some in zip(texts, words, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
