@@ -105,7 +105,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """Tasks of sessions. placed: with file and row, their place in the table, which breaks ties of rows that are alike in all else that orders them."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if placed else []
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"),
         F.col("l_linenumber").alias("line"),
@@ -113,6 +115,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("task_type"),
         F.col("l_shipdate").alias("created_at"),
         F.when(F.col("l_linestatus") == "O", "running").otherwise("done").alias("status"),
+        *place,
     )
 
 

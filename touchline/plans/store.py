@@ -275,13 +275,15 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 , ranked as (select *, row_number() over (partition by session_id, task_type order by line desc) as place from tasks)
 select session_id, task_type, line, part, status from ranked where place = 1""")
 def snapshot_then_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest tasks from a snapshot of the first lines and a stream of those that came after."""
+    """The latest tasks from a snapshot of the first lines and a stream of those that came after; of equal lines the first in the table."""
     folder = f"{shared_folder(spark)}/touchline/tail-{uuid.uuid4().hex}"
-    rows = tasks(spark, sf_dir).select("session_id", "task_type", "line", "part", "status")
+    columns = ["session_id", "task_type", "line", "part", "status"]
+    rows = tasks(spark, sf_dir, placed=True).select(*columns, "file", "row")
 
     def stream():
         tail = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/turn=*")
         return windows.copy_stream(tail, f"{folder}/checkpoint", f"{folder}/out")
 
     windows.in_turns([rows.where("line = 3"), rows.where("line > 3")], f"{folder}/in", stream)
-    return windows.snapshot_then_tail(rows.where("line < 3"), spark.read.schema(rows.schema).parquet(f"{folder}/out"), ["session_id", "task_type"], [F.desc("line")])
+    order = [F.desc("line"), F.asc("file"), F.asc("row")]
+    return windows.snapshot_then_tail(rows.where("line < 3"), spark.read.schema(rows.schema).parquet(f"{folder}/out"), ["session_id", "task_type"], order).select(columns)
