@@ -14,7 +14,7 @@ from touchline.plans import catalog
 COLUMNS = ["session_id", "task_type", "line", "part", "status"]
 
 
-@pytest.mark.parametrize("name", ["snapshot_then_tail"])
+@pytest.mark.parametrize("name", ["snapshot_then_tail", "stored_upsert"])
 def test_tied_lines(spark, name):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     os.mkdir(f"{folder}/lineitem.parquet")
