@@ -4,9 +4,10 @@ import math
 import random
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from touchline.operators import features, masks
+from touchline.operators import features, groups, masks, targets
 from touchline.sources import keyed
 from touchline.sources.folders import shared_folder
 
@@ -98,3 +99,29 @@ def test_smooth_heat_is_the_two_dimensional_kernel(spark):
     for r in features.smooth_heat(table, ["session_id"], 9).collect():
         near = [(x, y, n) for (x, y), n in cells.items() if abs(r["cell_x"] - x) <= 4 and abs(r["cell_y"] - y) <= 4]
         assert math.isclose(r["density"], sum(n * w[r["cell_x"] - x + 4] * w[r["cell_y"] - y + 4] for x, y, n in near))
+
+
+def test_boxes_of_many_sessions_share_files(spark):
+    path = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    lines = spark.range(900, numPartitions=3).select(F.col("id").alias("s"), F.concat_ws(",", "id", F.lit("1,2,3,4,5")).alias("value"))
+    targets.write_keyed(lines.unionByName(lines.limit(1).withColumn("value", F.lit("7,1,2"))), path, ["s"])
+    assert spark.read.text(path).select(F.input_file_name()).distinct().count() <= 4
+    found = targets.read_keyed(spark, path, {"s": "long"}).orderBy("s").collect()
+    assert [tuple(r) for r in found] == [(i, 10 * i, 1, 2.0, 3.0, 4.0, 5.0) for i in range(900)]
+
+
+def test_masks_and_tracks_come_many_a_call(spark):
+    """Groups that end within a batch of rows, groups that span batches, and null keys; a call has more than one group."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50")
+    try:
+        rows = spark.range(3000).select(F.when(F.col("id") >= 200, F.floor(F.col("id") / F.when(F.col("id") < 2000, 3).otherwise(400))).alias("k"), "id")
+        work = lambda frame: pd.DataFrame({"groups": [len(groups.starts(frame, ["k"]))], "rows": [len(frame)]})
+        found = groups.whole_groups(rows, ["k"], ["id"], work, "groups long, rows long").agg(F.sum("groups"), F.sum("rows"), F.count("*")).first()
+        assert found[0] == rows.select("k").distinct().count() and found[1] == 3000 and found[2] < found[0] / 3
+        one = spark.createDataFrame([(None if m % 9 == 0 else m % 9, m, y, x, x) for m in range(40) for y in range(9) for x in (0, 1, 3 + y % 2, 9)], "frame long, mask long, row int, first int, last int")
+        found = masks.component_boxes(masks.components(one, ["frame", "mask"]), ["frame", "mask"]).collect()
+        assert sorted((r["mask"], r["x1"], r["x2"], r["area"]) for r in found) == sorted((m, *b) for m in range(40) for b in ((0, 1, 18), (3, 4, 9), (9, 9, 9)))
+    finally:
+        spark.conf.set(size, before)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import iou
+from touchline.operators.groups import starts, whole_groups
 
 
 def rle_area(counts: Column) -> Column:
@@ -61,88 +62,102 @@ def decode_runs(counts: Column) -> Column:
     return F.array_join(F.transform(counts, lambda n, i: F.repeat(F.when(i % 2 == 1, "1").otherwise("0"), n.cast("int"))), "")
 
 
+SPAN = 1 << 32  # more than any column
+
+
 def label_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Component of each run of pixels (row, first and last column, sorted by row and column): the smallest index of its runs.
+    """Component of each run of pixels (row, first and last column, apart from each other and sorted by row and column): the smallest index of its runs.
 
-    Two passes: runs that touch one of the row above, also at a corner, are united; then every run takes its root.
+    Runs that touch one of the row below, also at a corner, are found by bisection; then the smaller of two roots takes
+    over the larger one until all links lie within a component.
     """
     root = np.arange(len(row))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    starts = np.searchsorted(row, np.unique(row))
-    ends = np.append(starts[1:], len(row))
-    for k in range(1, len(starts)):
-        i, j = starts[k - 1], starts[k]
-        if row[i] + 1 != row[j]:
-            continue
-        while i < ends[k - 1] and j < ends[k]:
-            if first[i] <= last[j] + 1 and first[j] <= last[i] + 1:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-            if last[i] < last[j]:
-                i += 1
-            else:
-                j += 1
-    return np.array([find(i) for i in range(len(row))], np.int64)
+    low = np.searchsorted(row * SPAN + last, (row + 1) * SPAN + first - 1)
+    high = np.searchsorted(row * SPAN + first, (row + 1) * SPAN + last + 1, side="right")
+    touching = np.maximum(high - low, 0)
+    a = np.repeat(root, touching)
+    b = np.arange(len(a)) + np.repeat(low - (np.cumsum(touching) - touching), touching)
+    while len(a):
+        one, two = root[a], root[b]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
 
 
 def _join_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs sorted, with those that touch or overlap in a row made one."""
     order = np.lexsort((first, row))
     row, first, last = row[order], first[order], last[order]
-    reach = np.maximum.accumulate(last + row * (1 << 32)) - row * (1 << 32) if len(row) else last
+    reach = np.maximum.accumulate(last + row * SPAN) - row * SPAN if len(row) else last
     opens = np.ones(len(row), bool)
     opens[1:] = (row[1:] != row[:-1]) | (first[1:] > reach[:-1] + 1)
     at = np.nonzero(opens)[0]
     return row[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
 
 
-def _holes(row: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of the pixels of an image that are in no run."""
-    rows, starts, ends = [np.arange(height)], [np.zeros(height, np.int64)], [np.full(height, width - 1)]
-    if len(row):
-        starts = [np.append(starts[0], last + 1)]
-        rows = [np.append(rows[0], row)]
-        order = np.lexsort((starts[0], rows[0]))
-        rows, starts = rows[0][order], starts[0][order]
-        opens = np.append(first, np.full(height, width))
-        owner = np.append(row, np.arange(height))
-        ends = opens[np.lexsort((opens, owner))] - 1
-    else:
-        rows, starts, ends = rows[0], starts[0], ends[0]
+def _holes(row: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of the pixels of the given rows of an image that are in no run."""
+    starts, owner = np.append(np.zeros(len(rows), np.int64), last + 1), np.append(rows, row)
+    order = np.lexsort((starts, owner))
+    starts, owner = starts[order], owner[order]
+    opens, ender = np.append(first, np.full(len(rows), width)), np.append(row, rows)
+    ends = opens[np.lexsort((opens, ender))] - 1
     some = ends >= starts
-    return rows[some], starts[some], ends[some]
+    return owner[some], starts[some], ends[some]
 
 
 RUN = ["row", "first", "last"]
 
 
-def _masks(runs: DataFrame, keys: list[str], work, more: str) -> DataFrame:
-    """work(row, first, last), on joined runs, for each mask; its columns besides the runs' follow ``more``."""
+def _stack(mask: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of many masks as rows of one tall image, and the mask and row that each of its rows stands for.
+
+    Rows that follow each other in a mask do so in the image; a free row lies between all others.
+    """
+    order = np.lexsort((row, mask))
+    own, at = mask[order], row[order]
+    step = np.full(len(order), 2)
+    step[1:] = np.where(own[1:] == own[:-1], np.minimum(at[1:] - at[:-1], 2), 2)
+    number = np.cumsum(step)
+    placed = np.empty(len(order), np.int64)
+    placed[order] = number
+    of_mask, of_row = np.zeros((2, number[-1] + 1), np.int64)
+    of_mask[number], of_row[number] = own, at
+    return placed, of_mask, of_row
+
+
+def _masks(runs: DataFrame, keys: list[str], work, more: str, height: int = 0) -> DataFrame:
+    """work(row, first, last, of_mask, rows) on the joined runs of many masks below each other (_stack()); its columns besides the runs' follow ``more``.
+
+    of_mask: the number of the mask of each row of the tall image; rows: its rows that stand for the first ``height`` of each mask.
+    """
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(work(*_join_runs(*(frame[c].to_numpy(np.int64) for c in RUN))))
-        for i, k in enumerate(keys):
-            found.insert(i, k, frame[k].iloc[0])
-        return found
+        heads = starts(frame, keys)
+        n = len(heads)
+        row, first, last = (frame[c].to_numpy(np.int64) for c in RUN)
+        mask = np.append(np.repeat(np.arange(n), np.diff(np.append(heads, len(frame)))), np.repeat(np.arange(n), height))
+        placed, of_mask, of_row = _stack(mask, np.append(row, np.tile(np.arange(height), n)))
+        found = work(*_join_runs(placed[: len(frame)], first, last), of_mask, placed[len(frame) :])
+        out = frame[keys].iloc[heads[of_mask[found["row"]]]].reset_index(drop=True)
+        return out.assign(**{**found, "row": of_row[found["row"]]})
 
     kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
-    return runs.groupBy(*keys).applyInPandas(each, f"{kinds}, row long, first long, last long{more}")
+    return whole_groups(runs, keys, [], each, f"{kinds}, row long, first long, last long{more}")
 
 
 def components(runs: DataFrame, keys: list[str]) -> DataFrame:
     """row, first, last and component of the joined runs of each mask; a component is numbered by its first run. Diagonal neighbours touch.
 
-    runs: keys, row, first, last column. The runs of one mask are one group, which its image bounds.
+    runs: keys, row, first, last column. Many masks are worked on at a time; the runs of one are held at once, which its image bounds.
     """
 
-    def work(row, first, last):
-        return {"row": row, "first": first, "last": last, "component": label_runs(row, first, last)}
+    def work(row, first, last, of_mask, rows):
+        mask = of_mask[row]
+        return {"row": row, "first": first, "last": last, "component": label_runs(row, first, last) - np.searchsorted(mask, mask)}
 
     return _masks(runs, keys, work, ", component long")
 
@@ -160,23 +175,30 @@ def without_small(runs: DataFrame, keys: list[str], most: int, width: int, heigh
     The largest island stays where all are small. A mask without pixels has no rows.
     """
 
-    def work(row, first, last):
-        gaps = _holes(row, first, last, width, height)
-        area = np.zeros(len(gaps[0]), np.int64)
-        named = label_runs(*gaps)
-        np.add.at(area, named, gaps[2] - gaps[1] + 1)
-        small = area[named] < most if len(named) else np.zeros(0, bool)
+    def areas(row, first, last):
+        named = label_runs(row, first, last)
+        area = np.zeros(len(row), np.int64)
+        np.add.at(area, named, last - first + 1)
+        return named, area
+
+    def work(row, first, last, of_mask, rows):
+        n = of_mask[-1] + 1
+        gaps = _holes(row, first, last, width, rows)
+        named, area = areas(*gaps)
+        small = area[named] < most
         filled = _join_runs(*(np.append(own, gap[small]) for own, gap in zip((row, first, last), gaps, strict=True)))
-        named, area = label_runs(*filled), np.zeros(len(filled[0]), np.int64)
-        np.add.at(area, named, filled[2] - filled[1] + 1)
-        keep = area[named] >= most
-        if not keep.any():
-            keep = named == area.argmax()
-        changed = bool(small.any() or not keep.all())
+        named, area = areas(*filled)
+        keep, mask = area[named] >= most, of_mask[filled[0]]
+        # The largest island of each mask, of equal ones the first.
+        roots = np.nonzero(named == np.arange(len(named)))[0]
+        roots = roots[np.lexsort((-area[roots], mask[roots]))]
+        largest = roots[np.searchsorted(mask[roots], np.arange(n))]
+        keep |= (np.bincount(mask[keep], minlength=n) == 0)[mask] & (named == largest[mask])
+        changed = (np.bincount(of_mask[gaps[0][small]], minlength=n) > 0) | (np.bincount(mask[~keep], minlength=n) > 0)
         kept = [c[keep] for c in filled]
-        return {"row": kept[0], "first": kept[1], "last": kept[2], "changed": np.full(len(kept[0]), changed)}
+        return {"row": kept[0], "first": kept[1], "last": kept[2], "changed": changed[mask[keep]]}
 
-    return _masks(runs, keys, work, ", changed boolean")
+    return _masks(runs, keys, work, ", changed boolean", height)
 
 
 def cleaned_boxes(runs: DataFrame, frame: list[str], mask: str, most: int, width: int, height: int, threshold: float = 0.7) -> DataFrame:
