@@ -1,5 +1,7 @@
 """Folds over frames on known cases."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,3 +180,14 @@ def test_tracker_matches_a_plain_greedy_one(spark):
     for r in found:  # boxes that never touch another's keep one number
         names.setdefault(r["own"], set()).add(r["track_id"])
     assert len(found) == len(rows) and all(len(n) == 1 for n in names.values()) and len({min(n) for n in names.values()}) == 4
+
+
+def test_tracker_with_hundreds_of_live_tracks(spark):
+    """A long patience keeps all tracks of boxes that never meet again; pairs of boxes and tracks are looked at as arrays, not one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(1, f, float(x), float(y), float(x + 60), float(y + 60), float(c)) for f in range(300) for x, y, c in zip(*rng.uniform(0, 9000, (2, 22)), rng.random(22), strict=True)]
+    table = spark.createDataFrame(rows, "session_id long, frame int, x1 double, y1 double, x2 double, y2 double, conf double")
+    stateful.greedy_tracks(table.limit(5), ["session_id"]).collect()
+    start = time.time()
+    found = stateful.greedy_tracks(table, ["session_id"], patience=1000).groupBy("track_id").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in found) == 6600 and 3000 < len(found) < 6600 and time.time() - start < 15

@@ -302,30 +302,37 @@ def greedy_tracks(detections: DataFrame, keys: list[str], least_iou: float = 0.3
     """detections (frame, x1, y1, x2, y2, conf) with a track_id from greedy overlap with the tracks of earlier frames."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        live: dict[int, tuple[np.ndarray, int]] = {}
-        out, next_id = [], 1
-        for number, rows in frame.groupby("frame", sort=True):
-            live = {t: v for t, v in live.items() if number - v[1] <= patience}
-            rows = rows.sort_values(["conf", "x1", "y1"], ascending=[False, True, True])
-            boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            pairs = []
-            for i, b in enumerate(boxes):
-                for t, (o, _) in live.items():
-                    both = max(0.0, min(b[2], o[2]) - max(b[0], o[0])) * max(0.0, min(b[3], o[3]) - max(b[1], o[1]))
-                    whole = (b[2] - b[0]) * (b[3] - b[1]) + (o[2] - o[0]) * (o[3] - o[1]) - both
-                    if whole > 0 and both / whole >= least_iou:
-                        pairs.append((-both / whole, i, t))
-            ids, used = {}, set()
-            for _, i, t in sorted(pairs):
-                if i not in ids and t not in used:
-                    ids[i] = t
-                    used.add(t)
-            for i in range(len(boxes)):
-                if i not in ids:
-                    ids[i], next_id = next_id, next_id + 1
-                live[ids[i]] = boxes[i], number
-            out.append(rows.assign(track_id=[ids[i] for i in range(len(boxes))]))
-        return pd.concat(out)
+        frame = frame[frame["frame"].notna()].sort_values(["frame", "conf", "x1", "y1"], ascending=[True, False, True, True]).reset_index(drop=True)
+        numbers, places = frame["frame"].to_numpy(), frame[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        starts = np.append(np.nonzero(np.append(True, numbers[1:] != numbers[:-1]))[0], len(numbers)) if len(numbers) else np.zeros(1, int)
+        # The live tracks, by number: where each was last seen, and when.
+        tracks, last, seen = np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0, numbers.dtype)
+        found, next_id = np.zeros(len(frame), np.int64), 1
+        for low, high in zip(starts[:-1], starts[1:], strict=True):
+            stay = numbers[low] - seen <= patience
+            tracks, last, seen, boxes = tracks[stay], last[stay], seen[stay], places[low:high]
+            size = np.minimum(boxes[:, None, 2:], last[:, 2:]) - np.maximum(boxes[:, None, :2], last[:, :2])
+            both = np.maximum(size[..., 0], 0.0) * np.maximum(size[..., 1], 0.0)
+            i, j = np.nonzero(both > 0 if least_iou > 0 else both >= 0)  # most do not meet
+            own, other, both = boxes[i], last[j], both[i, j]
+            whole = (own[:, 2] - own[:, 0]) * (own[:, 3] - own[:, 1]) + (other[:, 2] - other[:, 0]) * (other[:, 3] - other[:, 1]) - both
+            share = both / np.where(whole > 0, whole, 1.0)
+            near = (whole > 0) & (share >= least_iou)
+            i, j, share = i[near], j[near], share[near]
+            best = np.lexsort((tracks[j], i, -share))
+            ids, used = np.zeros(len(boxes), np.int64), set()
+            for box, track in zip(i[best].tolist(), j[best].tolist(), strict=True):
+                if not ids[box] and track not in used:
+                    ids[box] = tracks[track]
+                    used.add(track)
+                    last[track], seen[track] = boxes[box], numbers[low]
+            new = np.nonzero(ids == 0)[0]
+            ids[new] = np.arange(next_id, next_id + len(new))
+            next_id += len(new)
+            tracks, last = np.append(tracks, ids[new]), np.concatenate([last, boxes[new]])
+            seen = np.append(seen, np.full(len(new), numbers[low]))
+            found[low:high] = ids
+        return frame.assign(track_id=found)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema if f.name != "track_id"]
     return detections.groupBy(*keys).applyInPandas(run, ", ".join([*fields, "track_id long"]))
