@@ -90,3 +90,19 @@ def test_sprints_of_the_reference_cases(spark):
     samples = spark.createDataFrame(rows, "session_id long, frame int, speed double, located boolean")
     found = features.sprint_analysis(samples, ["session_id"], 1.0, located=F.col("located")).orderBy("session_id").collect()
     assert [tuple(r) for r in found] == [(1, 1, 3.0, 3.0, 33.0), (2, 0, 0.0, 0.0, 7.0), (3, 0, 0.0, 0.0, 26.0), (4, 1, 2.0, 2.0, 26.0)]
+
+
+def test_switches_across_chunks_and_restarts(spark):
+    """A batch holds the state of all sessions, also of those that it doesn't change; frames without a team leave the state as it is."""
+    folder = new_folder(spark)
+    teams = [{1: [1, 0, 2], 2: [0, 0]}, {1: [0, 2]}, {1: [1], 2: [2, 1], 3: [1, 1]}]
+    rows = [[(s, f"{k}-{i}", t) for s, own in chunk.items() for i, t in enumerate(own)] for k, chunk in enumerate(teams)]
+    kinds = "session_id long, at string, team int"
+
+    def stream():
+        return windows.carried_switches(spark.readStream.schema(kinds).parquet(f"{folder}/in/turn=*"), f"{folder}/checkpoint", f"{folder}/out")
+
+    windows.in_turns([spark.createDataFrame(r, kinds) for r in rows], f"{folder}/in", stream)
+    batches = [sorted(map(tuple, spark.read.parquet(f"{folder}/out/batch={k}").collect())) for k in range(3)]
+    assert batches[0] == [(1, 3, 1, 2), (2, 2, 0, 0)] and batches[1] == [(1, 5, 1, 2), (2, 2, 0, 0)]
+    assert batches[2] == [(1, 6, 2, 1), (2, 4, 1, 1), (3, 2, 0, 1)]

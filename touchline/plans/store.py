@@ -248,7 +248,7 @@ def carried_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
         return windows.carried_switches(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/turn=*"), f"{folder}/checkpoint", f"{folder}/out")
 
     windows.in_turns([rows.where(chunk == k) for k in range(3)], f"{folder}/in", stream)
-    return windows.latest_batch(spark, f"{folder}/out", "session_id")
+    return windows.latest_batch(spark, f"{folder}/out", "session_id").select("session_id", "frames", "switches")
 
 
 def micros_of(at):

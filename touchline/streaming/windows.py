@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, time: str, window: Column, keys: list[str], late: str | None = None) -> DataFrame:
@@ -51,29 +49,36 @@ def in_turns(chunks: list[DataFrame], folder: str, stream: Callable[[], Streamin
 
 
 def carried_switches(control: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """frames and switches of possession of every session so far, with the state carried from chunk to chunk.
+    """frames and switches of possession of every session so far, and the team last in control (0: none), with the state carried from chunk to chunk.
 
     control: session_id, at (what orders rows), team. Chunks must arrive in order; within a
-    chunk rows are sorted. Every batch writes the sessions that it changed under its number.
+    chunk rows are sorted. Every batch sums up its chunk, adds it to the state that the batch before it left, and writes the state of all
+    sessions under its own number, so a replay starts from the same state.
     """
-
-    def fold(key, frames, state):
-        frames = pd.concat(list(frames)).sort_values("at")
-        n, switches, last = state.get if state.exists else (0, 0, 0)
-        for team in frames["team"]:
-            if team:
-                switches += int(last not in (0, team))
-                last = int(team)
-        state.update((n + len(frames), switches, last))
-        yield pd.DataFrame({"session_id": [key[0]], "frames": [n + len(frames)], "switches": [switches]})
+    none = F.lit(0).cast("long")
+    held = F.when(F.col("team") != 0, F.col("team"))
+    before = Window.partitionBy("session_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        marked = batch.withColumn("__prior", F.last(held, ignorenulls=True).over(before))
+        when = F.when(F.col("team") != 0, F.col("at"))  # rows without a team don't count
+        own = marked.groupBy("session_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(held != F.col("__prior")).alias("s"), F.min_by("team", when).alias("one"), F.max_by("team", when).alias("other")
+        )
+        if number == 0:
+            state = own.select("session_id", F.col("n").alias("frames"), F.col("s").alias("switches"), F.coalesce("other", F.lit(0)).alias("last"))
+        else:
+            kept = batch.sparkSession.read.schema("session_id long, frames long, switches long, last int").parquet(f"{out}/batch={number - 1}")
+            across = ((F.col("last") != 0) & (F.col("one") != F.col("last"))).cast("long")
+            state = kept.join(own, "session_id", "full").select(
+                "session_id",
+                (F.coalesce("frames", none) + F.coalesce("n", none)).alias("frames"),
+                (F.coalesce("switches", none) + F.coalesce("s", none) + F.coalesce(across, none)).alias("switches"),
+                F.coalesce("other", "last", F.lit(0)).alias("last"),
+            )
+        state.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    found = control.groupBy("session_id").applyInPandasWithState(
-        fold, "session_id long, frames long, switches long", "frames long, switches long, last int", "update", GroupStateTimeout.NoTimeout
-    )
-    return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return control.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_batch(spark: SparkSession, out: str, key: str) -> DataFrame:
