@@ -79,3 +79,10 @@ def test_empty_masks_and_single_candidates(spark):
     found = choice.choose_masks(table, ["session_id"], stable_frames=3).orderBy("frame").collect()
     assert [r["frame"] for r in found] == list(range(8)) and all(r["nth"] == 0 for r in found)
     assert choice.choose_masks(table.limit(0), ["session_id"]).count() == 0
+
+
+def test_an_empty_first_mask_is_no_error():
+    """A box without height has no noise either, so its filter is certain; the frame after a weak one starts it anew."""
+    box = np.array([[10.0, 5, 30, 55]])
+    frames = [(np.array([0.9]), np.zeros((1, 4)))] + [(np.array([0.9 if k != 3 else 0.1]), box) for k in range(9)]
+    assert [(b, s) for b, _, s in choice.follow(frames, stable_frames=3)] == [(0, s) for s in (1, 2, 3, 3, 0, 1, 2, 3, 3, 3)]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.stateful import filter_boxes
+from touchline.operators.stateful import BoxFilter
 
 # Fixed values of the published motion-aware tracker.
 MOTION_WEIGHT, STABLE_FRAMES, STABLE_SCORE = 0.15, 15, 0.3
@@ -15,18 +15,23 @@ MEMORY_SCORE, MEMORY_OBJECT, MEMORY_MOTION = 0.5, 0.0, 0.0
 MEMORIES = 6
 
 
-def overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Intersection over union of a box (x1, y1, x2, y2) with others; 0 where both are empty."""
-    size = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
-    inter = np.maximum(size, 0).prod(axis=1)
-    both = max(0.0, (box[2] - box[0]) * (box[3] - box[1])) + np.maximum(others[:, 2:] - others[:, :2], 0).prod(axis=1) - inter
-    return np.where(both > 0, inter / np.where(both > 0, both, 1), 0.0)
+def overlap(box: list[float], other: list[float]) -> float:
+    """Intersection over union of two boxes (x1, y1, x2, y2); 0 where both are empty."""
+    inter = max(min(box[2], other[2]) - max(box[0], other[0]), 0.0) * max(min(box[3], other[3]) - max(box[1], other[1]), 0.0)
+    both = max(0.0, (box[2] - box[0]) * (box[3] - box[1])) + max(other[2] - other[0], 0.0) * max(other[3] - other[1], 0.0) - inter
+    return inter / both if both > 0 else 0.0
 
 
-def centred(box: np.ndarray) -> np.ndarray:
+def centred(box: list[float]) -> list[float]:
     """x1, y1, x2, y2 as centre, aspect and height; a box without height has the aspect 0."""
     w, h = box[2] - box[0], box[3] - box[1]
-    return np.array([box[0] + w / 2, box[1] + h / 2, w / h if h else 0.0, h])
+    return [box[0] + w / 2, box[1] + h / 2, w / h if h else 0.0, h]
+
+
+def best_of(scores: list[float]) -> int:
+    """The first of the greatest scores; one that is NaN goes before all others, as in an array."""
+    unknown = [i for i, s in enumerate(scores) if s != s]
+    return unknown[0] if unknown else scores.index(max(scores))
 
 
 def follow(frames: list[tuple[np.ndarray, np.ndarray]], weight: float = MOTION_WEIGHT, stable_frames: int = STABLE_FRAMES, least: float = STABLE_SCORE) -> list[tuple[int, float, int]]:
@@ -38,21 +43,28 @@ def follow(frames: list[tuple[np.ndarray, np.ndarray]], weight: float = MOTION_W
     """
     state, stable, out = None, 0, []
     for scores, boxes in frames:
-        nothing, motion = np.full((1, 1, 4), np.nan), float("nan")
+        scores, boxes = np.asarray(scores, float).tolist(), np.asarray(boxes, float).tolist()
+        motion = float("nan")
         if state is None or stable == 0:
-            best, state, update = int(scores.argmax()), None, True
+            best, state, update = best_of(scores), BoxFilter(), True
             stable += 1
-        elif stable < stable_frames:
-            best = int(scores.argmax())
-            update = scores[best] > least
-            stable = stable + 1 if update else 0
         else:
-            cx, cy, aspect, h = filter_boxes(nothing, state)[0][0, 0]
-            motions = overlap(np.array([cx - aspect * h / 2, cy - h / 2, cx + aspect * h / 2, cy + h / 2]), boxes)
-            best = int((weight * motions + (1 - weight) * scores).argmax())
-            motion, update = float(motions[best]), scores[best] >= least
-            stable = stable if update else 0
-        state = filter_boxes(centred(boxes[best])[None, None] if update else nothing, state)[2]
+            state.predict()
+            if stable < stable_frames:
+                best = best_of(scores)
+                update = scores[best] > least
+                stable = stable + 1 if update else 0
+            else:
+                cx, cy, aspect, h = state.value
+                expected = [cx - aspect * h / 2, cy - h / 2, cx + aspect * h / 2, cy + h / 2]
+                motions = [overlap(expected, box) for box in boxes]
+                best = best_of([weight * m + (1 - weight) * s for m, s in zip(motions, scores, strict=True)])
+                motion, update = motions[best], scores[best] >= least
+                stable = stable if update else 0
+        if update and state.live:
+            state.update(centred(boxes[best]))
+        elif update:
+            state.start(centred(boxes[best]))
         out.append((best, motion, stable))
     return out
 

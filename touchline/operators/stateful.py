@@ -230,6 +230,65 @@ def filter_boxes(boxes: np.ndarray, state: tuple | None = None, position: float
     return out, gate, (mean, cov, live)
 
 
+HEIGHT_NOISE = (True, True, False, True)  # which measures have noise in proportion to the height
+
+
+class BoxFilter:
+    """filter_boxes() of one series, a step at a time and in plain numbers, which are faster than arrays of eight.
+
+    All noise is diagonal, so the four measures never mix: each has its value, velocity and own covariance (of the value, of both, of the velocity).
+    """
+
+    def __init__(self, position: float = 1 / 20, velocity: float = 1 / 160):
+        self.position, self.velocity = position, velocity
+        self.value: list[float] = []
+        self.speed, self.cov = [0.0] * 4, [(0.0, 0.0, 0.0)] * 4
+
+    @property
+    def live(self) -> bool:
+        """Whether a box has been seen."""
+        return len(self.value) > 0
+
+    def _noise(self, h: float, position: float, velocity: float, aspect: float) -> list[tuple[float, float]]:
+        """Variances of value and velocity of each measure."""
+        tall, flat = ((position * h) ** 2, (velocity * h) ** 2), (aspect**2, 1e-5**2)
+        return [tall if by_height else flat for by_height in HEIGHT_NOISE]
+
+    def predict(self) -> None:
+        noise = self._noise(self.value[3], self.position, self.velocity, 1e-2)
+        self.value = [x + v for x, v in zip(self.value, self.speed, strict=True)]
+        self.cov = [((a + b) + (b + c) + p, b + c, c + q) for (a, b, c), (p, q) in zip(self.cov, noise, strict=True)]
+
+    def start(self, box: list[float]) -> None:
+        self.value, self.speed = list(box), [0.0] * 4
+        self.cov = [(p, 0.0, q) for p, q in self._noise(box[3], 2 * self.position, 10 * self.velocity, 1e-2)]
+
+    def update(self, box: list[float]) -> float:
+        """The squared Mahalanobis distance of the box, which the filter takes in. A measure that is certain and has no noise moves by nothing, nor does it count."""
+        noise, gate = self._noise(self.value[3], self.position, self.velocity, 1e-1), 0.0
+        for i, (z, (a, b, c), (r, _)) in enumerate(zip(box, self.cov, noise, strict=True)):
+            s = a + r
+            if s == 0:
+                continue
+            off, k, g = z - self.value[i], a / s, b / s
+            gate += off * (off / s)
+            self.value[i] += k * off
+            self.speed[i] += g * off
+            self.cov[i] = (a - k * s * k, b - k * s * g, c - g * s * g)
+        return gate
+
+    def step(self, box: list[float]) -> float:
+        """predict() and update(), or start() at the first box; a box with NaN is none. The distance, NaN without a box."""
+        if self.live:
+            self.predict()
+        if any(z != z for z in box):
+            return float("nan")
+        if self.live:
+            return self.update(box)
+        self.start(box)
+        return 0.0
+
+
 class KalmanSeries:
     """kalman_paths() of one series, a part of its frames at a time; frame, mean and cov are all it remembers."""
 
@@ -243,17 +302,22 @@ class KalmanSeries:
 
     def follow(self, frames: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filtered boxes and distances at ascending frames after the last one; frames between them are steps without a box."""
-        path, gate = np.full((len(frames), 4), np.nan), np.full(len(frames), np.nan)
-        for i, (frame, box) in enumerate(zip(frames, boxes, strict=True)):
-            steps = frame - self.frame if self.frame >= 0 else 1
-            dense = np.full((1, steps, 4), np.nan)
-            dense[0, -1] = box
-            state = (self.mean[None], self.cov[None], np.ones(1, bool)) if self.live else None
-            found, gates, (mean, cov, live) = filter_boxes(dense, state)
-            if live[0]:
-                self.mean, self.cov = mean[0], cov[0]
-            path[i], gate[i], self.frame = found[0, -1], gates[0, -1], frame
-        return path, gate
+        at = np.arange(4)
+        own, path, gate, nothing = BoxFilter(), [], [], [float("nan")] * 4
+        if self.live:
+            own.value, own.speed = self.mean[:4].tolist(), self.mean[4:].tolist()
+            own.cov = list(zip(self.cov[at, at].tolist(), self.cov[at, at + 4].tolist(), self.cov[at + 4, at + 4].tolist(), strict=True))
+        for frame, box in zip(np.asarray(frames).tolist(), np.asarray(boxes, float).tolist(), strict=True):
+            for _ in range(frame - self.frame - 1 if own.live else 0):
+                own.predict()
+            gate.append(own.step(box))
+            path.append(own.value[:] if own.live else nothing)
+            self.frame = frame
+        if own.live:
+            self.mean, self.cov = np.array(own.value + own.speed), np.zeros((8, 8))
+            value, both, speed = np.array(own.cov).T
+            self.cov[at, at], self.cov[at, at + 4], self.cov[at + 4, at], self.cov[at + 4, at + 4] = value, both, both, speed
+        return np.array(path, float).reshape(-1, 4), np.array(gate, float)
 
 
 def kalman_track(measures: DataFrame, keys: list[str], group_rows: int = 1 << 18) -> DataFrame:
