@@ -60,3 +60,12 @@ def test_context_of_one_class_is_no_evidence():
     model = toxicity.fit_model(first, second, np.array([1, 1, 0], np.int32), np.array([0, 2, 9], np.int32))
     at = np.searchsorted(model["pair"], toxicity.pair_hash(first[:1], second[:1]))[0]
     assert 0 < model["bi"][at] < 2
+
+
+def test_bigrams_come_in_parts_and_whole(spark):
+    counts = spark.range(1000).selectExpr("id as first", "-2 * id - 1 as second", "cast(id % 5 as int) as n1", "cast(id % 3 as int) as n0")
+    found = toxicity._fetched(counts, rows_each=64)
+    first = found[0].view("int64").tolist()
+    assert sorted(first) == list(range(1000))
+    assert [found[1].view("int64").tolist(), found[2].tolist(), found[3].tolist()] == [[-2 * i - 1 for i in first], [i % 5 for i in first], [i % 3 for i in first]]
+    assert first != sorted(first)  # several parts

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import cut, discard
+
 WORDS = re.compile(r"[^\W\d_]+")
 WINDOW = 32
 STRONG = 2.0
@@ -35,6 +37,7 @@ GROUP = 1 << 19  # words scored at once
 START = 0  # stands for the word before the first
 DISCOUNT = 0.75
 BIGRAMS = 1 << 18  # bigrams put into the model at once
+FETCHED = 1 << 19  # bigrams brought to the driver at once, about
 
 
 def words(text: str | None) -> list[str]:
@@ -83,6 +86,22 @@ def _bigram_counts(sample: DataFrame) -> DataFrame:
     return grams.distinct().groupBy("first", "second").agg(F.sum(bad).cast("int").alias("n1"), F.sum(1 - bad).cast("int").alias("n0"))
 
 
+def _fetched(counts: DataFrame, rows_each: int = FETCHED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first, second, n1 and n0 of all bigrams, brought to the driver some hundred thousand at a time, so that Spark and Arrow never hold them all there."""
+    table = cut(counts, "bigrams")
+    n = table.count()
+    out = (np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.int32), np.empty(n, np.int32))
+    parts, low = max(1, -(-n // rows_each)), 0
+    for k in range(parts):
+        some = table.where(F.pmod(F.xxhash64("first", "second"), F.lit(parts)) == k).toArrow()
+        for column, name in zip(out, ("first", "second", "n1", "n0"), strict=True):
+            values = some[name].to_numpy()
+            column[low : low + len(values)] = values.view(column.dtype)
+        low += some.num_rows
+    discard(table)
+    return out
+
+
 def fit_model(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted hash arrays with log-ratios of words, contexts and bigrams, from all bigrams (hashes) and their class counts."""
     counts = {"1": n1, "0": n0}
@@ -226,10 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "id").select("text", F.col("toxic").cast("int").alias("toxic"), "id")
     aside = F.xxhash64("id", F.lit(5)).bitwiseAND(1023) < 205
-    counts = _bigram_counts(rows.where(~aside)).toArrow()
-    hashes = [counts[c].to_numpy().view(np.uint64) for c in ("first", "second")]
-    model = fit_model(*hashes, counts["n1"].to_numpy(), counts["n0"].to_numpy())
-    del counts, hashes
+    model = fit_model(*_fetched(_bigram_counts(rows.where(~aside))))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
