@@ -2,14 +2,17 @@
 
 import random
 import uuid
+from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from touchline.operators import features, matching
+from touchline.operators.stateful import kalman_path
 from touchline.plans import live, tracking
 from touchline.sources import changes, frames
 from touchline.sources.folders import shared_folder
-from touchline.streaming import windows
+from touchline.streaming import stateful, windows
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -106,3 +109,21 @@ def test_switches_across_chunks_and_restarts(spark):
     batches = [sorted(map(tuple, spark.read.parquet(f"{folder}/out/batch={k}").collect())) for k in range(3)]
     assert batches[0] == [(1, 3, 1, 2), (2, 2, 0, 0)] and batches[1] == [(1, 5, 1, 2), (2, 2, 0, 0)]
     assert batches[2] == [(1, 6, 2, 1), (2, 4, 1, 1), (3, 2, 0, 1)]
+
+
+def test_series_keep_their_filters_in_few_groups(spark):
+    """Series of one group, one without a box so far and one that starts later, carried over two turns."""
+    folder, kinds = new_folder(spark), "s long, at timestamp, frame int, cx double, cy double, aspect double, h double"
+    rows = [(s, datetime(2020, 1, 1, 0, f), f, *((10.0 * f + s, 5.0 * f, 0.5, 100.0) if f >= s and (f + s) % 3 else (None,) * 4)) for s in (0, 4, 9) for f in range(12) if f >= 6 or s != 9]
+
+    def stream():
+        return stateful.kalman_stream(spark.readStream.schema(kinds).parquet(f"{folder}/in/turn=*"), "s", f"{folder}/checkpoint", f"{folder}/out", groups=1)
+
+    windows.in_turns([spark.createDataFrame([r for r in rows if (r[2] >= 4) == late], kinds) for late in (False, True)], f"{folder}/in", stream)
+    found = {(r["s"], r["frame"]): r for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert len(found) == len(rows)
+    for s in (0, 4, 9):
+        own = [r for r in rows if r[0] == s]
+        path, gate = kalman_path(np.array([r[3:] for r in own], float))
+        got = [[found[s, r[2]][c] for c in ("cx", "cy", "aspect", "h", "gate")] for r in own]
+        assert np.allclose(np.array(got, float), np.column_stack([path, gate]), equal_nan=True)

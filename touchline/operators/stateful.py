@@ -289,34 +289,39 @@ class BoxFilter:
         return 0.0
 
 
+NUMBERS = 20  # of a filter: four values, four velocities, four times three of covariance
+
+
 class KalmanSeries:
-    """kalman_paths() of one series, a part of its frames at a time; frame, mean and cov are all it remembers."""
+    """kalman_paths() of one series, a part of its frames at a time; frame and numbers() are all it remembers."""
 
     def __init__(self):
-        self.frame, self.mean, self.cov = -1, np.zeros(0), np.zeros((0, 0))
-
-    @property
-    def live(self) -> bool:
-        """Whether a box has been seen."""
-        return len(self.mean) > 0
+        self.frame, self.own = -1, BoxFilter()
+
+    @staticmethod
+    def of(frame: int, numbers: list[float]) -> KalmanSeries:
+        """The series that had this frame and numbers()."""
+        series = KalmanSeries()
+        series.frame = frame
+        if numbers[0] == numbers[0]:
+            series.own.value, series.own.speed = list(numbers[:4]), list(numbers[4:8])
+            series.own.cov = [tuple(numbers[k : k + 3]) for k in range(8, NUMBERS, 3)]
+        return series
+
+    def numbers(self) -> list[float]:
+        """The filter's numbers; NaN before a box has been seen."""
+        own = self.own
+        return [*own.value, *own.speed, *(x for cov in own.cov for x in cov)] if own.live else [float("nan")] * NUMBERS
 
     def follow(self, frames: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filtered boxes and distances at ascending frames after the last one; frames between them are steps without a box."""
-        at = np.arange(4)
-        own, path, gate, nothing = BoxFilter(), [], [], [float("nan")] * 4
-        if self.live:
-            own.value, own.speed = self.mean[:4].tolist(), self.mean[4:].tolist()
-            own.cov = list(zip(self.cov[at, at].tolist(), self.cov[at, at + 4].tolist(), self.cov[at + 4, at + 4].tolist(), strict=True))
+        own, path, gate, nothing = self.own, [], [], [float("nan")] * 4
         for frame, box in zip(np.asarray(frames).tolist(), np.asarray(boxes, float).tolist(), strict=True):
             for _ in range(frame - self.frame - 1 if own.live else 0):
                 own.predict()
             gate.append(own.step(box))
             path.append(own.value[:] if own.live else nothing)
             self.frame = frame
-        if own.live:
-            self.mean, self.cov = np.array(own.value + own.speed), np.zeros((8, 8))
-            value, both, speed = np.array(own.cov).T
-            self.cov[at, at], self.cov[at, at + 4], self.cov[at + 4, at], self.cov[at + 4, at + 4] = value, both, both, speed
         return np.array(path, float).reshape(-1, 4), np.array(gate, float)
 
 

@@ -108,9 +108,11 @@ def kalman_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.least(F.floor(F.col("frame") / F.col("third")), F.lit(2))
     dealt = rows.join(third, "session_id").withColumn("part", turn).drop("third")
     folder = stream_folder(spark, "kalman")
+    groups = max(8, totals(spark, sf_dir).count() // 64)
 
     def stream():
-        return stateful.kalman_stream(stateful.read_rows(spark, f"{folder}/in", rows.schema), "session_id", f"{folder}/checkpoint", f"{folder}/out")
+        measures = stateful.read_rows(spark, f"{folder}/in", rows.schema)
+        return stateful.kalman_stream(measures, "session_id", f"{folder}/checkpoint", f"{folder}/out", groups=groups)
 
     windows.in_turns([dealt.where(f"part = {k}").select(*rows.columns) for k in range(3)], f"{folder}/in", stream)
     return spark.read.parquet(f"{folder}/out")
