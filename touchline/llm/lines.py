@@ -228,7 +228,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return joined.mapInArrow(run, f"a long, b long, na {node}, nb {node}, linked boolean")
 
 
-def near_links(
+def near_classes(
     docs: DataFrame,
     seen: DataFrame,
     text_col: str = "text",
@@ -236,9 +236,9 @@ def near_links(
     shingle: int = 7,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """a, b: links between different lines (nodes of two hashes) of the threshold's similarity at least.
+    """node, root: lines (nodes of two hashes) linked by the threshold's similarity, and the smallest line reachable.
 
-    seen is the written table of _occurrences().
+    seen is the written table of _occurrences(). Lines without a link are not listed.
     """
     placed = seen.where("keys is not null").select(F.explode("keys").alias("key"), F.col("h1").alias("id"))
     buckets = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -254,11 +254,12 @@ def near_links(
         return cut(_verify(pairs.distinct(), texts, shingle, threshold).where("linked").select("na", "nb"), "verified")
 
     links = verified(members.select(F.col("lo").alias("a"), F.col("id").alias("b")))
-    found = components(links.select(F.col("na.h1").alias("a"), F.col("nb.h1").alias("b")))
-    roots = found.select(F.col("node").alias("id"), "root")
+    found = components(links, "na", "nb")
+    discard(links)
+    roots = found.select(F.col("node.h1").alias("id"), F.col("root.h1").alias("root"))
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = cut(placed.join(roots.select(F.col("id").alias("lo"), F.col("root").alias("lo_root")), "lo", "left"), "placed")
-    discard(members, found)
+    discard(members)
     apart = placed.where(F.col("root") != F.coalesce("lo_root", "lo"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(apart.select("key").distinct(), "key")
     sizes = cut(sizes, "sizes")
@@ -269,9 +270,25 @@ def near_links(
     more = _block_links(apart, placed, many.select("key", F.ceil(F.col("n") / BLOCK_LINES).cast("long").alias("blocks")), texts, shingle, threshold)
     single, forest = verified(pairs), cut(more, "verified")
     discard(texts, placed, sizes)
-    found = cut(links.union(single).union(forest).select(F.col("na").alias("a"), F.col("nb").alias("b")), "near", free=False)
-    discard(links, single, forest)
-    return found
+    merged = _merged(found, single.union(forest))
+    discard(found, single, forest)
+    return merged
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root of components() after more links na, nb, of which only those between two components are followed."""
+
+    def top(node: str, root: str) -> DataFrame:
+        return found.select(F.col("node").alias(node), F.col("root").alias(root))
+
+    ends = links.join(top("na", "ra"), "na", "left").join(top("nb", "rb"), "nb", "left")
+    ends = ends.select(F.coalesce("ra", "na").alias("a"), F.coalesce("rb", "nb").alias("b"))
+    more = components(ends)
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    nodes = found.select("node", "root").union(more.select("node", F.col("node").alias("root"))).distinct()
+    merged = cut(nodes.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near")
+    discard(more)
+    return merged
 
 
 def _block_links(apart: DataFrame, members: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -332,9 +349,7 @@ def dropped_lines(
     min_chars = max(min_chars, shingle)
     columns = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")]
     seen = cut(_occurrences(docs, columns, text_col, min_chars, shingle, bands, rows), "occurrences")
-    near = near_links(docs, seen, text_col, min_chars, shingle, **options)
-    found = components(near)
-    discard(near)
+    found = near_classes(docs, seen, text_col, min_chars, shingle, **options)
     roots = cut(
         found.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2")),
         "roots",
