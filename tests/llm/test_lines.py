@@ -99,3 +99,22 @@ def test_banding_finds_similar_lines():
     options = {"shingle": 7} | {k: v.default for k, v in inspect.signature(lines.dropped_lines).parameters.items() if k in ("bands", "rows")}
     one, two = (lines.band_keys(some, options["shingle"], options["bands"], options["rows"]) for some in (first, second))
     assert (one == two).any(axis=1).mean() >= 0.9
+
+
+def test_counting_lines_splits_no_text(spark):
+    """Lines are counted by their breaks; only texts that lose lines are split."""
+    texts = [*corpus(3, 10), None, "", "\n", "a\n\nb\n"]
+    found = lines.dedup_lines(documents(spark, texts)).select("doc_id", "lines")
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["lines"]["total"] for r in found.collect()} == {i: len(t.split("\n")) if t is not None else 0 for i, t in enumerate(texts)}
+
+
+def test_texts_of_lines_with_blank_ends(spark):
+    """Lines are trimmed and measured as by str.strip and len, whatever their ends and bytes."""
+    some = ["a line that is long enough", "é" * 20, "é" * 19, "😀" * 20, "😀" * 19, "x" * 19, "\u00a0" + "y" * 19, "", " "]
+    raw = [a + x + b for x in some for a in ("", " ", "\t \x0b", "\x0c") for b in ("", " ", "\r", " \r\t")]
+    docs = documents(spark, ["\n".join(raw), None])
+    want = {x for x in (r.strip(lines.BLANK) for r in raw) if len(x) >= 20}
+    wanted = spark.createDataFrame([(x,) for x in want], "line string").select(F.xxhash64("line").alias("h1"))
+    assert sorted(r["line"] for r in lines._texts(docs, "text", 1, wanted).collect()) == sorted(want)
+    assert sorted(r["line"] for r in lines._texts(docs, "text", 20, wanted).collect()) == sorted(want)

@@ -90,13 +90,10 @@ def _band_keys(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndar
     for k in range(bands * rows):
         np.multiply(base, odd[k], out=scratch)
         signature[k] = np.minimum.reduceat(scratch, edges)
-    keys = np.empty((len(lines), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for r in range(rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[band * rows + r])
-        keys[:, band] = key
-    return keys
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for r in range(rows):
+        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + signature[r::rows])
+    return keys.T
 
 
 def shingle_sets(lines: list[str], shingle: int) -> list[np.ndarray]:
@@ -187,7 +184,10 @@ def _occurrences(docs: DataFrame, columns: list[Column], text_col: str, min_char
 def _texts(docs: DataFrame, text_col: str, min_chars: int, wanted: DataFrame) -> DataFrame:
     """h1, h2, line of the lines whose h1 is in wanted."""
     split = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("raw"))
-    trimmed = split.select(F.expr(f"trim(BOTH '{BLANK}' FROM raw)").alias("line")).where(F.length("line") >= min_chars)
+    # Trimming and counting characters walk over a whole line; most lines show by their ends and bytes that neither is needed.
+    blank_end = " OR ".join(f"{at}(raw, '{c}')" for at in ("startswith", "endswith") for c in BLANK)
+    trimmed = split.select(F.expr(f"CASE WHEN {blank_end} THEN trim(BOTH '{BLANK}' FROM raw) ELSE raw END").alias("line"))
+    trimmed = trimmed.where((F.octet_length("line") >= 4 * min_chars) | (F.length("line") >= min_chars))
     hashed = trimmed.select("line", F.xxhash64("line").alias("h1"))
     # An inner join, as wanted is distinct: Spark moves a semi join below the bitmap, and then shuffles every line.
     some = _in_bitmap(hashed, "h1", wanted, "h1").join(wanted, "h1")
@@ -378,16 +378,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keyed = docs.withColumn("__text_hash", F.xxhash64(text_col))
     joined = keyed.join(drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    split = joined.withColumn("__split", F.split(F.col(text_col), "\n"))
-    kept = F.expr("transform(array_except(sequence(0, size(__split) - 1), __drop), i -> __split[i])")
-    total = F.coalesce(F.size("__split"), F.lit(0))
-    count = F.struct(
-        F.when(F.col(text_col).isNull(), 0).otherwise(total).alias("total"), F.coalesce(F.size("__drop"), F.lit(0)).alias("dropped")
-    )
-    count = F.struct(count["total"].alias("total"), F.greatest(count["dropped"], F.lit(0)).alias("dropped"))
+    # Only texts that lose lines are split; for the others the line breaks are counted.
+    split = F.array(F.split(F.col(text_col), "\n"))
+    kept = F.transform(split, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__drop"), lambda i: F.get(x, i)))[0]
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    total = F.coalesce(breaks + 1, F.lit(0))
+    count = F.struct(total.alias("total"), F.greatest(F.coalesce(F.size("__drop"), F.lit(0)), F.lit(0)).alias("dropped"))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     own = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines"]
-    return split.select(*own, count.alias("lines"))
+    return joined.select(*own, count.alias("lines"))
 
 
 def apply_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
