@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -40,6 +41,45 @@ def test_round_trip_of_hard_texts(spark):
     check(rows, dict(enumerate(texts)))
 
 
+def encoder():
+    with open(PATH, encoding="utf-8") as file:
+        return packing.WordEncoder(file.read())
+
+
+def test_every_letter_before_punctuation():
+    """Letters that turn into a letter and a mark, as U+0958 and U+0130, join the punctuation after them."""
+    texts = [chr(c) + "." for c in range(0x30000) if chr(c).isalpha()]
+    texts += ["KİTAP, \u0958!? <|ENDOFTEXT|> <|endoftext|>. ÀÉß\u212a\u212b\u0178\u1e9e; x\x1cy z\u3000Z:", "", " \n"]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder().encode(pa.array(texts)) == want
+
+
+def test_frequent_words_are_learnt_once(monkeypatch):
+    """In capitals, with punctuation and after the cache was full, too; the caches stay bounded."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    some, learnt = encoder(), []
+    learn = some.learn
+    monkeypatch.setattr(some, "learn", lambda words: learnt.extend(words) or learn(words))
+    letters = "abcdefghij"
+    for a in letters:
+        for b in letters:
+            rare = [f"{a}{b}{c}" for c in letters]
+            some.encode(pa.array([f"often Often OFTEN! (often) often,.. {' '.join(rare)} {'y' * 300}"]))
+            assert len(some.cache) <= 50 + 20 and len(some.older) <= 50 + 20
+            assert max(map(len, some.cache)) <= packing.LONG_WORD
+    assert learnt.count("often") == 1 and "Often" not in learnt and "OFTEN" not in learnt
+    assert len(learnt) == len(set(learnt)) + 99  # the long word is not kept
+
+
+def test_portions():
+    texts = pa.array(["", "ab", "x" * packing.TOGETHER, "", "c", "y" * packing.TOGETHER, "z"])
+    found = list(packing._portions(texts))
+    assert [a for a, _ in found] == [0, *(b for _, b in found[:-1])] and found[-1][1] == len(texts)
+    assert all(b - a == 1 or sum(len(x.as_py()) for x in texts[a:b]) <= packing.TOGETHER for a, b in found)
+    assert list(packing._portions(texts.slice(5))) == [(0, 1), (1, 2)] and not list(packing._portions(texts.slice(7)))
+
+
 def test_close_to_the_fewest_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -10,90 +10,143 @@ and packs what is left by best fit, largest first, into the room that is left an
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import cut
 
 SUFFIX = ".,;:!?*%$#&|-()\"/"  # never letters, digits or apostrophes: the tokenizer splits before them
-CACHE_WORDS = 400_000
-TOGETHER = 1 << 18  # characters after which texts are no longer learnt together
+LATIN = re.compile("[a-zß-öø-ÿ]+")  # letters of one byte or two, which the tokenizer leaves as they are
+#: Letters that the tokenizer turns into a letter and a mark, which joins the punctuation after it.
+MARKED = "[\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e]"
+CACHE_WORDS = 400_000  # of each of two caches
+LONG_WORD = 256  # characters above which a word is not kept
+TOGETHER = 1 << 23  # bytes above which texts are not encoded together
+
+
+def _gather(table: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of table that are named by code, in turn, and where each begins; size: of each entry, which stand in order."""
+    n = size[code]
+    ends = np.append(0, np.cumsum(n))
+    return table[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, with a bounded cache of words.
+    """Token ids of texts, as little-endian unsigned 32-bit bytes, with bounded caches of words.
 
     The tokenizer never joins what white space separates, nor letters and the punctuation
-    after them, so a text's ids are those of its words in turn.
+    after them, and takes capital letters for small ones. So a text's ids are those of its
+    words in turn, and a word's are those of its letters, A to Z as a to z, and of the rest.
+
+    A word that is asked for moves from the older cache to the newer. When the newer is full,
+    it takes the place of the older, so frequent words are always known.
     """
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(content)
+        self.model = self.tokenizer.model
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: split(chr(c))[0][0] for c in range(ord("ß"), ord("ÿ") + 1)}  # as the model has them
         self.cache: dict[str, bytes] = {}
-        self.special = [t for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *self.special]
+        self.older: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Add words to the cache: letters all at once, other words one by one."""
-        plain, ends = [], {}
-        for w in words:
-            core = w.rstrip(SUFFIX)
-            if core.isalpha():
-                if core not in self.cache:
-                    plain.append(core)
-                if core != w:
-                    ends[w] = core
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new words: Latin letters by the model itself, other letters all at once, other words one by one."""
+        found, latin, other = [b""] * len(words), [], []
+        ids, bounds = [], [0]
+        for i, w in enumerate(words):
+            low = w.lower()
+            if LATIN.fullmatch(low):
+                ids += [token.id for token in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]
+                latin.append(i)
+                bounds.append(4 * len(ids))
+            elif w.isalpha():
+                other.append(i)
             else:
-                self.cache[w] = self.whole(w)
-        plain = list(dict.fromkeys(plain))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                found[i] = self.whole(w)
+        raw = np.array(ids, "<u4").tobytes()
+        for k, i in enumerate(latin):
+            found[i] = raw[bounds[k] : bounds[k + 1]]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            encoded = self.tokenizer.encode(" ".join(words[i] for i in part), add_special_tokens=False)
             ids, of = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
             starts = np.nonzero(np.diff(of, prepend=-1))[0]
-            if len(starts) != len(part):  # a letter whose lower case is not only letters
-                self.cache.update((w, self.whole(w)) for w in part)
-                continue
             raw, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.cache.update((w, raw[bounds[i] : bounds[i + 1]]) for i, w in enumerate(part))
-        for w, core in ends.items():
-            tail = w[len(core) :]
-            if tail not in self.cache:
-                self.cache[tail] = self.whole(tail)
-            self.cache[w] = self.cache[core] + self.cache[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        low = 0
-        while low < len(texts):
-            high, chars = low, 0
-            while high < len(texts) and chars < TOGETHER:
-                chars += len(texts[high])
-                high += 1
-            out += self.together(texts[low:high])
-            low = high
-        return out
+            one_each = len(starts) == len(part)  # else a letter's lower case is not only letters
+            for k, i in enumerate(part):
+                found[i] = raw[bounds[k] : bounds[k + 1]] if one_each else self.whole(words[i])
+        return found
 
-    def together(self, texts: list[str]) -> list[bytes]:
-        """Ids of a few texts, whose new words are learnt at once."""
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some different words, none of them letters with punctuation after them."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        words = [None if any(x in text for x in self.odd) else text.split() for text in texts]
-        missing = set().union(*(some for some in words if some)).difference(self.cache)
-        if missing:
-            self.learn(missing)
-        return [self.whole(text) if some is None else b"".join(map(self.cache.__getitem__, some)) for text, some in zip(texts, words, strict=True)]
+            self.cache, self.older = {}, self.cache
+        found, new = list(map(self.cache.get, words)), []
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = self.older.get(words[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    found[i] = self.cache[words[i]] = ids
+        for i, ids in zip(new, self.learn([words[i] for i in new]), strict=True):
+            found[i] = ids
+            if len(words[i]) <= LONG_WORD:
+                self.cache[words[i]] = ids
+        return found
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after the other, and how many each has."""
+        core = pc.utf8_rtrim(words, SUFFIX)
+        letters = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, MARKED))
+        low = pc.if_else(letters, pc.ascii_lower(words), words)  # as long as before
+        length = pc.if_else(letters, pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        start = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+        cuts = np.empty(2 * len(low) + 1, np.int32)  # each word in two: what is looked up by itself, and the rest
+        cuts[::2], cuts[1::2] = start, start[:-1] + length
+        coded = pa.StringArray.from_buffers(2 * len(low), pa.py_buffer(cuts), low.buffers()[2]).dictionary_encode()
+        each = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, ends = _gather(np.frombuffer(b"".join(each), "<u4"), size, coded.indices.to_numpy())
+        return ids, np.diff(ends[::2])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of a few texts, none null: each different word is looked up once, the rest is done on numbers."""
+        texts = texts.cast(pa.string())
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        coded = split.flatten().dictionary_encode()
+        ids, ends = _gather(*self.words(coded.dictionary), coded.indices.to_numpy())
+        offsets = split.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]].tolist()
+        return [self.whole(texts[i].as_py()) if odd[i] else ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(texts))]
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """From which to which text to encode together."""
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + TOGETHER, "right")) - 1)
+        yield low, high
+        low = high
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -127,10 +180,10 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail, at_row = _encoder(sent.value), np.array([end_id], "<u4").tobytes(), 0
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
+            for low, high in _portions(whole.column(1)):
+                batch = whole.slice(low, high - low)
                 owner, piece, start, length, crc, tokens = [], [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                for i, raw in enumerate(encoder.encode(batch.column(1))):
                     raw += tail
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
