@@ -27,9 +27,9 @@ SUFFIX = ".,;:!?*%$#&|-()\"/"  # never letters, digits or apostrophes: the token
 LATIN = re.compile("[a-zß-öø-ÿ]+")  # letters of one byte or two, which the tokenizer leaves as they are
 #: Letters that the tokenizer turns into a letter and a mark, which joins the punctuation after it.
 MARKED = "[\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e]"
-CACHE_WORDS = 400_000  # of each of two caches
+CACHE_WORDS = 200_000  # of each of two caches
 LONG_WORD = 256  # characters above which a word is not kept
-TOGETHER = 1 << 23  # bytes above which texts are not encoded together
+TOGETHER = 1 << 21  # bytes above which texts are not encoded together
 
 
 def _gather(table: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
