@@ -120,3 +120,45 @@ def test_probabilities_are_textbook_kneser_ney():
         p = textbook(lang)
         for g, value in zip(asked, found[:, k], strict=True):
             assert math.isclose(math.exp(value), p(g), rel_tol=1e-9), (lang, g)
+
+
+def test_texts_are_sent_once_and_in_small_batches(spark):
+    """No batch that goes to Python exceeds 8 MB by more than a row, and none holds a text twice."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from touchline.llm import common
+
+    before = spark.conf.get(common.BATCH_BYTES)
+    spark.conf.set(common.BATCH_BYTES, "64m")
+    try:
+        docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('quiet rivers carry words ', 400)").alias("text"))
+        docs = docs.withColumn("lang", F.lit("en"))
+        model = language.fit(docs.limit(50))
+        model.limits = None  # nothing with letters is rejected
+        kept = language.keep_identified(docs, model)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert len(sizes) > 3 and max(r["n"] for r in sizes) < (8 << 20) + 20_000
+        sent = kept._jdf.queryExecution().analyzed().children().head().output().size()
+        assert sent == len(docs.columns)
+        assert kept.count() == 4000 and kept.columns == docs.columns
+        spark.conf.set(common.BATCH_BYTES, "1m")
+        language.identify(docs, language.fit(docs.limit(50)))
+        assert spark.conf.get(common.BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.set(common.BATCH_BYTES, before)
+
+
+def test_kept_rows_have_their_columns_whatever_their_names_and_kinds(spark):
+    """Rows are those that are not rejected, nested and odd columns included."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, hard_texts() + ["plain words of a language that is known well"] * 3)
+    docs = docs.withColumn("score", F.struct(F.col("doc_id").alias("a b"), F.array(F.col("doc_id")).alias("rejected")))
+    docs = docs.withColumn("a b", F.current_timestamp()).withColumn("rejected", F.create_map(F.lit("x"), F.col("doc_id")))
+    model = language.fit(docs.drop("rejected"))
+    kept = language.keep_identified(docs, model)
+    wanted = {r["doc_id"] for r in language.identify(docs, model, [F.col("doc_id")]).collect() if not r["rejected"]}
+    rows = kept.collect()
+    assert kept.columns == docs.columns and {r["doc_id"] for r in rows} == wanted and len(rows) == len(wanted)
+    assert all(r["score"]["a b"] == r["doc_id"] and r["rejected"] == {"x": r["doc_id"]} for r in rows)

@@ -23,6 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from touchline.llm.common import small_batches
 
 ORDER = 4
 PIECE = 1 << 18  # characters handled at once
@@ -196,6 +199,7 @@ def fit_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 def _predicted(model: Model, rows: DataFrame, columns: list[Column], text_col: str) -> DataFrame:
     """columns of rows, with lang_pred, score, rejected and (for calibration) the entropy in each language."""
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(vars(model))
     own = [c for c in rows.select(*columns).columns if c not in ("lang_pred", "score", "rejected")]
     picked = rows.select(*columns, F.col(text_col).alias("__text")).select(*(f"`{c}`" for c in own), "__text")
@@ -225,6 +229,7 @@ def fit(
     together. More than max_langs languages raise an error. No rows: a model without
     languages, which predicts ``und``.
     """
+    small_batches(rows.sparkSession)
     own = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() not in ("map", "variant")))
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), own.alias("own"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -278,7 +283,15 @@ def identify(docs: DataFrame, model: Model, columns: list[Column] | None = None,
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not rejected, with the columns of docs."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("__words"))
-    found = identify(rows, model, [F.col("row")], "__words")
-    return found.where(~F.col("rejected")).select("row.*")
+    """The rows of docs that are not rejected, with the columns of docs, each sent once."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, model = letter_table(), Model(**sent.value)
+        for batch in batches:
+            rejected = model.predict(batch.column(at).to_pylist(), table)[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
